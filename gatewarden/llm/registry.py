@@ -2,9 +2,10 @@
 
 from .bpe import op3
 from .mixing import op8
+from .near_dedup import op1
 from .quality_rules import SQL as SQL6
 from .quality_rules import op6
 from .url_filter import op5
 
-QUERIES = {"op3_bpe": op3, "op5_url_filter": op5, "op6_quality_rules": op6, "op8_mixing": op8}
+QUERIES = {"op1_near_dedup": op1, "op3_bpe": op3, "op5_url_filter": op5, "op6_quality_rules": op6, "op8_mixing": op8}
 ORACLE_SQL = {"op6_quality_rules": SQL6}
