@@ -1,8 +1,8 @@
 """BPE encoding and decoding by a segment tree over adjacent pair ranks.
 
 The symbols of a word are the leaves of a linked list; leaf i of the tree holds the rank of the pair that starts at symbol i. The root
-yields the leftmost pair of lowest rank; merging it updates three leaves, each in logarithmic time, until no pair can be merged. A word's
-ids are kept in a bounded table, so that common words are merged once for each worker.
+yields the leftmost pair of lowest rank; merging it updates three leaves, each in logarithmic time, until no pair can be merged. Many words are
+merged side by side, a tree in each row of an array. A word's ids are kept in a bounded table, so that common words are merged once for each worker.
 
 Normalising and splitting into words are the tokenizers library's own steps, read from the tokenizer's file; the merges are done here. A null text counts as
 empty, with no ids. Repeated rows are encoded each; columns other than the key and the text are ignored.
@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -74,7 +75,7 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
 class Codec:
     """A BPE with a word-end suffix, from a file of the tokenizers library (path is a parameter; the file is never copied)."""
 
-    def __init__(self, path: str, keep: int = 1 << 17):
+    def __init__(self, path: str, keep: int = 1 << 18):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -98,45 +99,153 @@ class Codec:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.token = {i: t for t, i in (self.vocab | added).items()}
         self.keep, self.known = keep, {}
-
-    def word(self, word: str) -> tuple[int, bytes, str]:
-        """Number of ids, the ids as little-endian 32-bit numbers, and the decoded text of what stands between blanks."""
-        out: list[int] = []
-        for piece, _ in self.split(self.normalise(word)) if word else ():
-            symbols = []
-            for c in [*piece[:-1], piece[-1] + self.suffix]:
-                i = self.vocab.get(c, self.unknown)
-                if i is not None:
-                    symbols.append(i)
-            out += merge(symbols, self.ranks)
-        entry = len(out), array("I", out).tobytes(), self.decode(out)
-        if len(word) <= 64:
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[word] = entry
-        return entry
-
-    def entries(self, text: str) -> list[tuple[int, bytes, str]]:
-        """word() of all that stands between blanks, which no step of the tokenizer looks across, and of added tokens."""
+        order = sorted(self.ranks)
+        self.pair = np.array([a << 20 | b for a, b in order], np.int64)
+        self.rank, self.made = (np.array([self.ranks[p][k] for p in order], np.int64) for k in (0, 1))
+        table = [[self.vocab.get(chr(c) + tail, -1 if self.unknown is None else self.unknown) for c in range(400)] for tail in ("", self.suffix)]
+        self.plain, self.final = (np.array(t, np.int64) for t in table)
+
+    def pieces(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pieces of words and, for each piece, the place of its word. Words hold no ASCII blanks, so one call can split them all."""
+        joined = self.normalise(" ".join(words))
+        parts = joined.split(" ")
+        if len(parts) != len(words):  # some words hold other blanks
+            if len(words) == 1:
+                found = [p for p, _ in self.split(joined)]
+                return found, np.zeros(len(found), np.int64)
+            half = len(words) // 2
+            (x, i), (y, j) = self.pieces(words[:half]), self.pieces(words[half:])
+            return x + y, np.concatenate([i, j + half])
+        found = self.split(joined)
+        start = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
+        at = np.array([o[0] for _, o in found], np.int64)
+        return [p for p, _ in found], np.searchsorted(start, at, "right") - 1
+
+    def learn(self, words: list[str]) -> dict[str, tuple[int, bytes, str]]:
+        """For each word its number of ids, the ids as little-endian 32-bit numbers, and the decoded text."""
+        pieces, owner = self.pieces(words)
+        ids, n = self.merge_all(pieces)
+        count = np.bincount(owner, n, len(words)).astype(np.int64)
+        end = np.cumsum(count)
+        raw, names = ids.astype("<u4").tobytes(), list(map(self.token.__getitem__, ids.tolist()))
+        return {w: (c, raw[4 * (e - c) : 4 * e], " ".join(names[e - c : e])) for w, c, e in zip(words, count.tolist(), end.tolist(), strict=True)}
+
+    def merge_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has. Pieces of like length are merged together, tree by tree in one array."""
+        size = np.array([len(p) for p in pieces], np.int64)
+        code = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.int64)
+        stop = np.cumsum(size)
+        symbols = self.plain[np.minimum(code, len(self.plain) - 1)]
+        symbols[stop - 1] = self.final[np.minimum(code[stop - 1], len(self.final) - 1)]
+        if (symbols < 0).any():
+            raise ValueError("a byte is missing from the vocabulary")
+        alive = np.ones(len(symbols), bool)
+        width = 2
+        while (group := np.flatnonzero((size > (width // 2 if width > 2 else 1)) & (size <= width))).size or width < 64:
+            if group.size:
+                self.merge_group(symbols, alive, stop[group] - size[group], size[group], width)
+            width *= 2
+        for k in np.flatnonzero(size > width // 2):
+            a, b = stop[k] - size[k], stop[k]
+            out = merge(symbols[a:b].tolist(), self.ranks)
+            symbols[a : a + len(out)] = out
+            alive[a + len(out) : b] = False
+        sums = np.concatenate([[0], np.cumsum(alive)])
+        return symbols[alive], sums[stop] - sums[stop - size]
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NEVER where there is none) and merged symbol of pairs."""
+        key = a << 20 | b
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        hit = (self.pair[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(hit, self.rank[at], NEVER), self.made[at]
+
+    def merge_group(self, symbols: np.ndarray, alive: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> None:
+        """merge() for many pieces at once: row k of the arrays is the tree and the linked list of piece k."""
+        place = np.arange(width)
+        inside = place < size[:, None]
+        s = np.where(inside, symbols[np.minimum(start[:, None] + place, len(symbols) - 1)], -1)
+        tree = np.full((len(start), 2 * width), NEVER, np.int64)
+        r, _ = self.look(s[:, :-1], s[:, 1:])
+        tree[:, width : 2 * width - 1] = np.where(r == NEVER, NEVER, r << 32 | place[:-1])
+        k = width
+        while k > 1:
+            tree[:, k // 2 : k] = np.minimum(tree[:, k : 2 * k : 2], tree[:, k + 1 : 2 * k : 2])
+            k //= 2
+        after = np.where(place + 1 < size[:, None], place + 1, width) + np.zeros_like(s)
+        before = place - 1 + np.zeros_like(s)
+        row = np.flatnonzero(tree[:, 1] != NEVER)
+
+        def put(row: np.ndarray, i: np.ndarray, value: np.ndarray) -> None:
+            node = width + i
+            tree[row, node] = value
+            while node[0] > 1:
+                node = node >> 1
+                tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+
+        def ranked(row: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """What leaf i holds when j comes after it (width: nothing does)."""
+            r, _ = self.look(s[row, i], np.where(j < width, s[row, np.minimum(j, width - 1)], -1))
+            return np.where(r == NEVER, NEVER, r << 32 | i)
+
+        while len(row):
+            i = tree[row, 1] & 0xFFFFFFFF
+            j = after[row, i]
+            s[row, i] = self.look(s[row, i], s[row, j])[1]
+            s[row, j] = -1
+            k = after[row, j]
+            after[row, i] = k
+            put(row, j, np.full(len(row), NEVER))
+            put(row, i, ranked(row, i, k))
+            more = k < width
+            before[row[more], k[more]] = i[more]
+            h = before[row, i]
+            some = h >= 0
+            if some.any():
+                put(row[some], h[some], ranked(row[some], h[some], i[some]))
+            row = row[tree[row, 1] != NEVER]
+        symbols[(start[:, None] + place)[inside]] = s[inside]
+        alive[(start[:, None] + place)[inside]] = s[inside] >= 0
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
+        """Number of ids, ids as little-endian 32-bit numbers and decoded text of whole texts.
+
+        No step of the tokenizer looks across an ASCII blank, so what stands between blanks is encoded once and kept. The table of kept words is
+        emptied when it is full; words of over 64 characters aren't kept.
+        """
+        rows: list[list[str]] = []
+        for text in texts:
+            row: list[str] = []
+            for k, part in enumerate(self.cut.split(text)) if self.cut else ((0, text),):
+                if k % 2:
+                    row.append("\n" + part)  # can't be a word
+                    continue
+                for c in "\t\n\r\x0b\x0c":
+                    part = part.replace(c, " ")
+                row += part.split(" ")
+            rows.append(row)
+        wanted = set().union(*rows)
+        fresh = wanted - self.known.keys()
+        if len(self.known) + len(fresh) > self.keep:
+            self.known.clear()
+            fresh = wanted
+        found = {"": (0, b"", "")}
+        for w in [w for w in fresh if w[:1] == "\n"]:
+            found[w] = (1, array("I", [self.added[w[1:]]]).tobytes(), w[1:])
+        words = [w for w in fresh if w and w[0] != "\n"]
+        for at in range(0, len(words), 20_000):
+            found |= self.learn(words[at : at + 20_000])
+        self.known |= {w: e for w, e in found.items() if len(w) <= 64}
+        known = self.known if len(self.known) >= len(wanted) and not any(len(w) > 64 for w in found) else self.known | found
         out = []
-        known = self.known.get
-        for k, part in enumerate(self.cut.split(text)) if self.cut else ((0, text),):
-            if k % 2:
-                out.append((1, array("I", [self.added[part]]).tobytes(), part))
-                continue
-            for c in "\t\n\r\x0b\x0c":
-                part = part.replace(c, " ")
-            out += [known(w) or self.word(w) for w in part.split(" ")]
+        for row in rows:
+            entries = [known[w] for w in row]
+            out.append((sum([e[0] for e in entries]), b"".join([e[1] for e in entries]), " ".join([e[2] for e in entries if e[0]])))
         return out
 
-    def encode_bytes(self, text: str) -> tuple[int, bytes, str]:
-        """Number of ids, ids as little-endian 32-bit numbers and decoded text of a whole text."""
-        found = self.entries(text)
-        return sum([e[0] for e in found]), b"".join([e[1] for e in found]), " ".join([e[2] for e in found if e[0]])
-
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        return array("I", self.encode_bytes(text)[1]).tolist()
+        return array("I", self.encode_batch([text])[0][1]).tolist()
 
     def decode(self, ids) -> str:
         """Tokens, special ones too, joined by blanks: what the library does for a file without a decoder."""
@@ -157,13 +266,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [own.encode_bytes(t or "") for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = own.encode_batch([t or "" for t in part.column(1).to_pylist()])
                 out = {
                     key: part.column(0),
                     "n_tokens": pa.array([r[0] for r in rows], pa.int64()),
