@@ -24,6 +24,8 @@ from .common import table
 
 _READY: dict[str, Codec] = {}
 NEVER = 1 << 60
+#: All that some library takes for blank, but the ASCII blank itself.
+BLANK = re.compile(r"[^\S ]|[\x1c-\x1f\x85\u180e]")
 
 
 def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -107,15 +109,19 @@ class Codec:
 
     def pieces(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         """The pieces of words and, for each piece, the place of its word. Words hold no ASCII blanks, so one call can split them all."""
+        odd = [k for k, w in enumerate(words) if BLANK.search(w)] if BLANK.search("".join(words)) else []
+        if odd:  # blanks inside a word would run into those between words
+            plain = sorted(set(range(len(words))) - set(odd))
+            found, owner = self.pieces([words[k] for k in plain]) if plain else ([], np.zeros(0, np.int64))
+            own = [[p for p, _ in self.split(self.normalise(words[k]))] for k in odd]
+            at = np.concatenate([np.array(plain, np.int64)[owner], np.repeat(odd, [len(x) for x in own])]).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            every = found + [p for x in own for p in x]
+            return [every[k] for k in order], at[order]
         joined = self.normalise(" ".join(words))
         parts = joined.split(" ")
-        if len(parts) != len(words):  # some words hold other blanks
-            if len(words) == 1:
-                found = [p for p, _ in self.split(joined)]
-                return found, np.zeros(len(found), np.int64)
-            half = len(words) // 2
-            (x, i), (y, j) = self.pieces(words[:half]), self.pieces(words[half:])
-            return x + y, np.concatenate([i, j + half])
+        if len(parts) != len(words):
+            raise ValueError("a word was split by the normaliser")
         found = self.split(joined)
         start = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
         at = np.array([o[0] for _, o in found], np.int64)
@@ -132,6 +138,8 @@ class Codec:
 
     def merge_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has. Pieces of like length are merged together, tree by tree in one array."""
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         size = np.array([len(p) for p in pieces], np.int64)
         code = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.int64)
         stop = np.cumsum(size)
