@@ -4,7 +4,7 @@ Documents are multisets of runs of five words. BagMinHash gives each multiset a
 equal to the weighted Jaccard similarity: the weight axis is cut into levels; over dyadic blocks of levels, each element has a seeded
 Poisson process of marked points, of which those whose mark lies below the element's weight count; register r keeps the earliest point that falls on it.
 
-Equal texts are one class from the start. Signatures are cut into bands; classes that agree on a band meet in a bucket, each pair that is
+Equal texts are one class from the start; a class is named by a 64-bit hash of its text until its smallest key is looked up at the end. Signatures are cut into bands; classes that agree on a band meet in a bucket, each pair that is
 proposed is verified by the multisets' exact overlap, and linked classes form components. A bucket proposes pairs in three rounds, each only
 between classes that are not yet connected: its smallest class against all; its most typical class against all (small buckets: all
 pairs); then, in blocks of bounded size, all pairs left. Rounds two and three leave out pairs whose signatures say that they lie more than
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, shingles, slices, table, utf8
+from .common import components, cut, mix, shingles, slices, table, utf8, written
 
 BANDS, ROWS = 28, 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -197,14 +197,16 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     A class holds what links of similarity >= threshold connect. Only counts reach the driver.
     """
     mine = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    mine = mine.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text"), "wordy": F.col("text").rlike("[^\\x20\\x09-\\x0D]")})
-    same = mine.where("wordy").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    same = cut(same)
-    # one row per different text: the row of its smallest key
-    texts = mine.where("wordy").join(same, ["h1", "h2"]).where("id = rep").select("rep", "text")
-    bands = cut(_signed(texts, "text", k, "bands").distinct())
-    full = cut(bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1"))
-    member = bands.join(full, "bucket")
+    mine = mine.withColumns({"rep": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text"), "wordy": F.col("text").rlike("[^\\x20\\x09-\\x0D]")})
+    copies = cut(mine.where("wordy").groupBy("rep", "h2").agg(F.min("id").alias("low")))
+    bands = _signed(mine.where("wordy"), "text", k, "bands").distinct()
+    bands = cut(bands)
+    full = bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
+    member = cut(bands.join(full, "bucket"))
+    # texts that meet another in some bucket: all that later rounds read
+    met = member.select("rep").distinct()
+    texts = mine.where("wordy").join(copies, ["rep", "h2"]).where("id = low").join(met, "rep", "left_semi").select("rep", "text")
+    texts = written(texts)
     tested = None
     links = None
 
@@ -241,11 +243,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         tested = seen if tested is None else tested.unionByName(seen)
         good = done.where(F.col("similarity") >= threshold).select("a", "b")
         links = good if links is None else links.unionByName(good)
-    comp = components(links, "a", "b")
-    byrep = same.join(comp, same["rep"] == comp["id"], "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("class"))
-    out = mine.select("id", "h1", "h2", "wordy").join(byrep, ["h1", "h2"], "left")
-    top = F.when(F.col("wordy"), F.col("class")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.when(F.col("wordy"), F.col("rep")).otherwise(F.col("id")).alias("copy_of"), top.alias("class_id"), F.coalesce(top == F.col("id"), F.lit(True)).alias("kept"))
+    comp = components(links, "a", "b").withColumnRenamed("id", "rep")
+    member = copies.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    lowest = member.groupBy("component").agg(F.min("low").alias("class"))
+    member = member.join(lowest, "component").select("rep", "h2", "low", "class")
+    out = mine.select("id", "rep", "h2", "wordy").join(member, ["rep", "h2"], "left")
+    low, top = (F.when(F.col("wordy"), F.col(c)).otherwise(F.col("id")) for c in ("low", "class"))
+    return out.select(F.col("id").alias(key), low.alias("copy_of"), top.alias("class_id"), F.coalesce(top == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
