@@ -156,6 +156,19 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "tex
     return docs.select(key, held, text).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
 
 
+def filter_rows(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "text", least: float = 0.5) -> DataFrame:
+    """docs without rows that score under least; whole rows pass through one worker, so nothing is joined."""
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+            yield batch.filter(pa.array(predict(model, data, offsets) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     """Quality of each row of documents."""
     docs = table(spark, sf_dir, "documents")

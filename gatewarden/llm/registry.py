@@ -1,5 +1,7 @@
 """Queries of the corpus operators by name."""
 
+import corpus_pipeline
+
 from .bpe import op3
 from .byte_cnn import op9
 from .embedding_dedup import op4
@@ -8,6 +10,7 @@ from .near_dedup import op1
 from .quality_rules import SQL as SQL6
 from .quality_rules import op6
 from .substring_dedup import op2
+from .surrogates import op10
 from .toxicity import op7
 from .url_filter import op5
 
@@ -21,5 +24,7 @@ QUERIES = {
     "op7_toxicity": op7,
     "op8_mixing": op8,
     "op9_quality_cnn": op9,
+    "op10_surrogates": op10,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op6_quality_rules": SQL6}
+ORACLE_SQL = {"op6_quality_rules": SQL6} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
