@@ -137,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     keep = F.lit(False)
     for value, n in counts.items():
         keep = keep | ((F.col("__l") == value) & (pick < int(min(1.0, sample / 2 / n) * 1_000_003) + 1))
-    got = docs.select(key, text).join(known.where(keep), key).select("__l", F.coalesce(F.col(text), F.lit("")).alias("t")).toArrow()
+    # about sample rows at most, so they may be broadcast; no text is shuffled
+    got = docs.select(key, text).join(F.broadcast(known.where(keep)), key).select("__l", F.coalesce(F.col(text), F.lit("")).alias("t")).toArrow()
     rows = sorted(zip([t.encode() for t in got["t"].to_pylist()], got["__l"].to_pylist(), strict=True))
     return train([t for t, _ in rows], np.array([v for _, v in rows]))
 

@@ -121,8 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     pick = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1_000_003))
     tagged = known.where("__l = 1").select(key, F.lit(True).alias("confirmed"))
     share = lambda most, of: int(min(1.0, most / max(of, 1)) * 1_000_003) + 1
-    pos = learn.where(pick < share(positives, hit)).join(tagged.where(pick < share(positives, hit)), key).select("confirmed", text)
-    rest = learn.where(pick < share(unlabelled, total)).join(tagged, key, "left_anti").select(F.lit(False).alias("confirmed"), text)
+    # both lists of keys are bounded by the sample's size, so they may be broadcast; no text is shuffled
+    some, any_ = pick < share(positives, hit), pick < share(unlabelled, total)
+    pos = learn.where(some).join(F.broadcast(tagged.where(some)), key).select("confirmed", text)
+    rest = learn.where(any_).join(F.broadcast(tagged.where(any_)), key, "left_anti").select(F.lit(False).alias("confirmed"), text)
     got = features(pos.unionByName(rest), text, bits).toArrow()
     confirmed = got["confirmed"].to_numpy()
     lists = got["f"].combine_chunks()
