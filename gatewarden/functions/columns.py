@@ -5,13 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import engine
 from . import grammar as g
 
-TEXT = "coalesced text"
-
-
 def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -38,7 +36,7 @@ def fold_lookalikes(c: Column) -> Column:
     return F.translate(c, *engine.LOOKALIKES)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalise(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else engine.normalise(t))
 
@@ -53,7 +51,7 @@ def url_decode(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(c), c)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def detection_variants(s: pd.Series) -> pd.Series:
     return s.map(lambda t: engine.variants(t or ""))
 
@@ -97,9 +95,9 @@ def birth_valid(m: Column) -> Column:
     return F.when(m.rlike("[0-9][/-][0-9]"), numeric).otherwise((month > 0) & whole & day(n(1), month.cast("int"), n(0)))
 
 
-@F.pandas_udf("array<string>")
-def _ip6_invalid(s: pd.Series) -> pd.Series:
-    return s.map(lambda ms: None if ms is None else [m for m in ms if not engine._ip6(m)])
+@F.pandas_udf(T.StringType())
+def _scrub_ip6(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else engine.scrub_kind(t, "IP6"))
 
 
 VALID = {"SSN": ssn_valid, "SIN": luhn_valid, "IBAN": iban_valid, "DOB": birth_valid, "IP": ipv4_valid, "CARD": luhn_valid}
@@ -114,14 +112,20 @@ def replace_kind(c: Column, kind: str) -> Column:
     pattern, token = pattern_of(kind), f"[{kind.rstrip('6')}]"
     if kind not in VALID and kind != "IP6":
         return F.regexp_replace(c, pattern, token)
-    found = F.regexp_extract_all(c, F.lit(pattern), 0)
     if kind == "IP6":
-        bad = _ip6_invalid(F.when(matches(c, ":.*:", False), found))
-        new = F.transform(found, lambda m: F.when(F.array_contains(bad, m), m).otherwise(token))
-    else:
-        new = F.transform(found, lambda m: F.when(VALID[kind](m), token).otherwise(m))
-    joined = F.array_join(F.zip_with(F.split(c, pattern, -1), new, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-    return F.when(c.rlike(pattern), joined).otherwise(c)
+        return _scrub_ip6(c)
+
+    def zipped(x: Column) -> Column:
+        new = F.transform(F.regexp_extract_all(x, F.lit(pattern), 0), lambda m: F.when(VALID[kind](m), token).otherwise(m))
+        joined = F.array_join(F.zip_with(F.split(x, pattern, -1), new, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+        return F.when(x.rlike(pattern), joined).otherwise(x)
+
+    return bound(c, zipped)
+
+
+def bound(c: Column, f) -> Column:
+    """f(c), with c computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def scrub(c: Column, kinds=None) -> Column:

@@ -12,7 +12,6 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import columns as c
 from ..functions.engine import Engine
@@ -24,9 +23,22 @@ PATTERNS = "array<struct<role:string,match:string>>"
 ANALYSIS = f"struct<pii:boolean,patterns:{PATTERNS},secrets:{SECRET},rules:{RULE}>"
 REDACTION = f"struct<text:string,redacted:boolean,pii_detected:boolean,findings:{SECRET},policy_findings:{RULE}>"
 LLM = "struct<injection_attempt:boolean,pii_detected:boolean,secret_leaked:boolean,risk_score:double,reason:string,error:string>"
-CHECK = T._parse_datatype_string(
-    f"type string, allowed boolean, skipped boolean, llm_flagged boolean, detected boolean, injection_attempt boolean, patterns {PATTERNS}, leaked boolean, violated boolean, count int, findings {RULE}, length int, max_length int, error boolean"
-)
+CHECK = {
+    "type": "string",
+    "allowed": "boolean",
+    "skipped": "boolean",
+    "llm_flagged": "boolean",
+    "detected": "boolean",
+    "injection_attempt": "boolean",
+    "patterns": PATTERNS,
+    "leaked": "boolean",
+    "violated": "boolean",
+    "count": "int",
+    "findings": RULE,
+    "length": "int",
+    "max_length": "int",
+    "error": "boolean",
+}
 FLAGS = ("injection_attempt", "pii_detected", "secret_leaked")
 
 
@@ -102,9 +114,8 @@ def call_provider(provider: Callable, text: str, context: dict) -> dict:
 
 
 def _check(kind: str, **values) -> Column:
-    fields = {f.name: values.get(f.name, F.lit(None)) for f in CHECK.fields}
-    fields["type"] = F.lit(kind)
-    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast(CHECK[k].dataType).alias(k) for k, v in fields.items()])
+    fields = {k: values.get(k) for k in CHECK} | {"type": kind}
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast(CHECK[k]).alias(k) for k, v in fields.items()])
 
 
 def decide(df: DataFrame, text: str, policy: Policy, found: Column, provider: Callable | None = None) -> DataFrame:
