@@ -164,7 +164,7 @@ def conversations(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{sf}/conversations.parquet").withColumn("text", F.expr(TURN_TEXT))
 
 
-@query("multi_turn_injection", f"WITH t AS (SELECT conv_id, turn, role, {TURN_TEXT} AS text, FROM conversations), n AS (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, bool_or(coalesce(lower(role) = 'user' AND lower(r2) = 'assistant' AND ({' OR '.join('(' + hit(a) + ' AND ' + hit(b, text='t2') + ')' for a, b in g.TURNS)}), false)) AS hit FROM n GROUP BY conv_id")
+@query("multi_turn_injection", f"WITH t AS (SELECT conv_id, turn, role, {TURN_TEXT} AS text FROM conversations), n AS (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, bool_or(coalesce(lower(role) = 'user' AND lower(r2) = 'assistant' AND ({' OR '.join('(' + hit(a) + ' AND ' + hit(b, text='t2') + ')' for a, b in g.TURNS)}), false)) AS hit FROM n GROUP BY conv_id")
 def multi_turn(spark, sf):
     w = W.partitionBy("conv_id").orderBy("turn")
     t = conversations(spark, sf).withColumns({"r2": F.lead("role").over(w), "t2": F.lead("text").over(w)})
@@ -278,8 +278,8 @@ def policy_findings(spark, sf):
 @query("policy_rule_join", T + "SELECT name, count(*) AS n FROM t, (VALUES ('falcon', 'falcon'), ('jailbreak', 'jailbreak'), ('token', 'ghp_')) r(name, source) WHERE regexp_matches(text, source, 'i') GROUP BY name")
 def policy_rule_join(spark, sf):
     """A table of rules, broadcast: as many rows as a policy has rules, a few hundred at most."""
-    rules = spark.createDataFrame([("falcon", "falcon"), ("jailbreak", "jailbreak"), ("token", "ghp_")], "name string, source string")
-    return planted(spark, sf).join(F.broadcast(rules), F.expr("text rlike concat('(?iu)', source)")).groupBy("name").agg(F.count("*").alias("n"))
+    rules = spark.createDataFrame([("falcon", "falcon"), ("jailbreak", "jailbreak"), ("token", "ghp_")], "name string, rule_source string")
+    return planted(spark, sf).join(F.broadcast(rules), F.expr("text rlike concat('(?iu)', rule_source)")).groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("secret_findings", T + f"SELECT doc_id, strpos(text, 'ghp_abcdefghijklmnopqrstuvwx') - 1 AS start, strpos(text, 'ghp_abcdefghijklmnopqrstuvwx') + 27 AS stop FROM t WHERE doc_id % {len(PAYLOADS)} = 4 AND length(text) <= 10000")
@@ -325,4 +325,4 @@ def html_page(spark, sf):
 @query("violations_windowed", "SELECT epoch_us(time_bucket(INTERVAL '10 minutes', ts)) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
 def windowed(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.groupBy(F.window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors")).select(F.unix_micros("w.start").alias("start"), "n", "errors")
+    return e.groupBy(F.window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors")).select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("start"), "n", "errors")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions.engine import Engine, normalise, scrub
+from ..functions.engine import Engine, normalise, scrub, single
 from ..operators.decision import _engine
 from ..policy import Policy
 
 
 def register(spark: SparkSession, policy: Policy | None = None) -> None:
     """guard_scrub(text), guard_normalise(text), guard_redact(text), guard_is_injection(text), and the table function guard_findings(text)."""
-    import pandas as pd
-
     policy = policy or Policy()
 
     def scalar(kind, body):
@@ -25,8 +24,6 @@ def register(spark: SparkSession, policy: Policy | None = None) -> None:
 
         return run
 
-    from ..functions.engine import single
-
     spark.udf.register("guard_scrub", scalar("string", lambda e, t: scrub(t)))
     spark.udf.register("guard_normalise", scalar("string", lambda e, t: normalise(t)))
     spark.udf.register("guard_redact", scalar("string", lambda e, t: e.redact(t)["text"]))
