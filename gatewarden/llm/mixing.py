@@ -5,6 +5,7 @@ bounded knapsack over (length, count) fills what remains of the budget, and the
 
 A null text has size 0 and is never taken. Repeated rows are documents of their own; among equal hashes doc_id decides, and rows
 equal in both are interchangeable. A null source is one more source, last in order. An empty table gives an empty result.
+Columns of the names that the result adds are replaced; others are kept.
 """
 
 from __future__ import annotations
@@ -100,6 +101,7 @@ def mix(
     their hash, so that no task ranks all documents of a common length. The plan (a row per source and length) is broadcast where it has small_rows rows
     at most.
     """
+    docs = docs.drop("size", "source_size", "target", "taken")
     sized = docs.withColumns(
         {
             "size": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"),

@@ -5,6 +5,7 @@ from the hosts of allowed pages along links, distrust walks from the hosts of bl
 host is blocked where distrust outweighs trust by a threshold.
 
 Null urls, and urls without ://, have an empty host and path and are allowed. Repeated rows are judged each. Null html has no links.
+Columns of the names that the result adds are replaced; others are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,6 +70,7 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, d
     allowed and blocked by turns takes part in both walks. A host without a rule is blocked if distrust - trust > threshold and distrust is not
     merely its own seed: what counts is rank that arrived over links.
     """
+    pages = pages.drop(*{"host", "path", "rule", "trust", "distrust", "verdict"} - {url, html})
     judged = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     judged = judged.withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules))
     edges = cut(links(pages, url, html))
