@@ -100,11 +100,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n of _BASE and of its inverse, kept for the next call."""
+    if len(_POWERS[0]) <= n:
+        for k, of in enumerate((_BASE, _BACK)):
+            _POWERS[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 21), of, np.uint64)]))
+    return _POWERS
+
+
 def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and inverse powers from which span_hash() gets the hash of any span of data."""
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), _BASE, np.uint64)]))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
-    return sums, np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), _BACK, np.uint64)]))
+    powers, back = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    return sums, back
 
 
 def span_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -128,17 +140,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each run of k words; a row of fewer words, but one at least, has one run of all of them."""
+    """Row and hash of each run of k words, row by row; a row of fewer words, but one at least, has one run of all of them."""
     row, start, end = words(data, offsets)
     h = span_hash(prefix_hash(data), start, end)
+    factor = np.uint64(0x9FB21C651E98DF25)
     n = np.bincount(row, minlength=len(offsets) - 1)
-    first = np.concatenate([[0], np.cumsum(n)])[:-1]
-    runs = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-    owner = np.repeat(np.arange(len(n)), runs)
-    at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
-    out = np.zeros(len(owner), np.uint64)
-    short = np.minimum(n, k)[owner]
+    at = np.zeros(0, np.int64)
+    if len(h) >= k:
+        at = np.flatnonzero(row[k - 1 :] == row[: len(row) - k + 1])
+    whole = len(at) == len(h) - k + 1
+    out = np.zeros(len(at), np.uint64)
     for j in range(k):
-        inside = j < short
-        out = np.where(inside, mix(out * np.uint64(0x9FB21C651E98DF25) + h[np.minimum(at + j, max(len(h) - 1, 0))]) if len(h) else out, out)
+        out *= factor
+        out += h[j : j + len(at)] if whole else h[at + j]
+        out = mix(out)
+    owner = row[at]
+    few = np.flatnonzero((n > 0) & (n < k))
+    if len(few):
+        first = np.concatenate([[0], np.cumsum(n)])[few]
+        some = np.zeros(len(few), np.uint64)
+        for j in range(k - 1):
+            inside = j < n[few]
+            some[inside] = mix(some[inside] * factor + h[first[inside] + j])
+        owner, out = np.concatenate([owner, few]), np.concatenate([out, some])
+        order = np.argsort(owner, kind="stable")
+        owner, out = owner[order], out[order]
     return owner, out

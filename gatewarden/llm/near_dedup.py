@@ -26,78 +26,81 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, mix, shingles, slices, table, utf8, written
 
-BANDS, ROWS = 28, 5
+BANDS, ROWS = 20, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def multisets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and count of each different run of k words."""
+    """Row, hash (of 44 bits) and count of each different run of k words; under 2 ** 20 rows at a time."""
     row, h = shingles(data, offsets, k)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    key = np.sort(row.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    return row[at], h[at], np.diff(np.append(at, len(h)))
-
-
-def _points(seed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gap (exponential with mean 1), register bits and mark (0 to 1) of point n of each process."""
-    a = mix(seed + (n.astype(np.uint64) + np.uint64(1)) * _STEP)
-    b = mix(a ^ np.uint64(0xD6E8FEB86659FD93))
-    return -np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53), b, (b >> np.uint64(40)).astype(np.float64) * 2.0**-24
+    key = key[at]
+    return (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1), np.diff(np.append(at, len(new)))
 
 
 def bagminhash(row: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int, m: int) -> np.ndarray:
     """(rows, m) registers as 64-bit numbers; two registers are equal with the weighted Jaccard similarity of their multisets.
 
-    Rows without elements have registers of 0. Points are drawn up to a time by which all registers of a row are filled with a
-    probability of 95 %; for rows where some are not, that time is doubled.
+    Each point of a process has a gap to the one before it (exponential with mean 1 over the rate), a register and a mark (0 to 1), all from one seeded hash.
+    Points are drawn up to a time by which all registers of a row are filled with a probability of 95 %; for rows where some are not, that time is doubled.
     """
     out = np.zeros((rows, m), np.uint64)
     weight = np.bincount(row, count, rows)
     bound = np.where(weight > 0, (np.log(m) + 3) / np.maximum(weight, 1), 0)
-    # level blocks (0, 1], (1, 2], (2, 4], (4, 8] ... that start below the count
-    blocks = np.where(count > 1, np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64), 0) + 1
-    item = np.repeat(np.arange(len(h)), blocks)
+    # level blocks (0, 1], (1, 2], (2, 4], (4, 8] ... that start below the count; the first of all elements, then the others of those with more
+    more = np.flatnonzero(count > 1)
+    blocks = np.ceil(np.log2(count[more])).astype(np.int64)
+    item = np.repeat(more, blocks)
     j = np.arange(len(item)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    low = np.where(j > 0, 2 ** np.maximum(j - 1, 0), 0)
-    width = np.where(j > 0, low, 1)
-    seed, owner = mix(h[item] + (j.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)), row[item]
-    part = np.minimum(count[item] - low, width) / width
-    rate = (m * width).astype(np.float64)
-    todo = np.arange(len(item))
-    while len(todo):
-        found = []
-        live, n, x = todo, np.zeros(len(todo), np.int64), np.zeros(len(todo))
-        many = np.ones(len(todo), np.int64)
-        while len(live):
-            k = np.repeat(np.arange(len(live)), many)
-            nth = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
-            gap, bits, mark = _points(seed[live[k]], n[k] + nth)
-            gap /= rate[live[k]]
-            sums = np.cumsum(gap)
-            first = np.cumsum(many) - many
-            when = x[k] + sums - (sums[first] - gap[first])[k]
-            good = (when <= bound[owner[live[k]]]) & (mark < part[live[k]])
-            found.append((owner[live[k[good]]], (bits[good] % np.uint64(m)).astype(np.int64), when[good], mix(bits[good] + seed[live[k[good]]])))
-            last = first + many - 1
-            x, n = when[last], n + many
-            more = x <= bound[owner[live]]
-            live, n, x = live[more], n[more], x[more]
-            mean = (bound[owner[live]] - x) * rate[live]
-            many = np.ceil(mean + 3 * np.sqrt(mean) + 1).astype(np.int64)
-        who, register, when, bits = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((when, who * m + register))
-        who, register, bits = who[order], register[order], bits[order]
-        new = np.ones(len(who), bool)
-        new[1:] = (who[1:] != who[:-1]) | (register[1:] != register[:-1])
-        out[who[new], register[new]] = bits[new] | np.uint64(1)
+    low = (1 << j).astype(np.int64)
+    seed = mix(np.concatenate([h + np.uint64(0xA24BAED4963EE407), h[item] + (j.astype(np.uint64) + np.uint64(2)) * np.uint64(0xA24BAED4963EE407)]))
+    owner = np.concatenate([row, row[item]])
+    part = np.concatenate([np.ones(len(h)), np.minimum(count[item] - low, low) / low])
+    scale = 1.0 / (m * np.concatenate([np.ones(len(h)), low]))
+    live = np.arange(len(owner))
+    best = np.full(rows * m, np.inf)
+    while len(live):
+        kept = []
+        todo, n, x, many = live, np.zeros(len(live), np.uint64), np.zeros(len(live)), np.ones(len(live), np.int64)
+        while len(todo):
+            single = bool((many == 1).all())
+            who = todo if single else np.repeat(todo, many)
+            nth = n if single else np.repeat(n, many) + (np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)).astype(np.uint64)
+            a = mix(seed[who] + (nth + np.uint64(1)) * _STEP)
+            gap = np.log(((a >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) * -scale[who]
+            if single:
+                when = last = x + gap
+            else:
+                sums = np.cumsum(gap)
+                first = np.cumsum(many) - many
+                when = sums + np.repeat(x - (sums[first] - gap[first]), many)
+                last = when[first + many - 1]
+            good = np.flatnonzero(when <= bound[owner[who]])
+            partial = part[who[good]]
+            cut_ = np.flatnonzero(partial < 1)
+            if len(cut_):
+                mark = (mix(a[good[cut_]] ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.float64) * 2.0**-24
+                good = np.delete(good, cut_[mark >= partial[cut_]])
+            who, a, when = who[good], a[good], when[good]
+            cell = owner[who] * m + ((a & np.uint64(0xFFFFFF)) * np.uint64(m) >> np.uint64(24)).astype(np.int64)
+            np.minimum.at(best, cell, when)
+            kept.append((cell, when, a + seed[who]))
+            rest = bound[owner[todo]] - last
+            on = np.flatnonzero(rest >= 0)
+            n, x = n[on] + many[on].astype(np.uint64), last[on]
+            todo = todo[on]
+            many = np.maximum(1, np.ceil(rest[on] / scale[todo])).astype(np.int64)
+        for cell, when, bits in kept:
+            won = np.flatnonzero(when == best[cell])
+            out.ravel()[cell[won]] = mix(bits[won]) | np.uint64(1)
         short = np.zeros(rows, bool)
-        short[np.unique(owner)] = True
+        short[np.unique(owner[live])] = True
         short &= (out == 0).any(axis=1)
         bound = np.where(short, bound * 2, 0)
-        todo = np.flatnonzero(short[owner])
+        live = np.flatnonzero(short[owner])
     return out
 
 
