@@ -24,6 +24,10 @@ from .common import table
 
 _READY: dict[str, Codec] = {}
 NEVER = 1 << 60
+#: Letters beyond ASCII, and marks, that no normal form changes, that have one small form, and that are no blanks.
+LETTERS, MARKS = "À-ÖØ-öø-ÿ", "¡¿«»–—‘’“”„…"
+#: A character that is none of these, nor an ASCII blank or a visible ASCII character: words with one are split by the library.
+ODD = re.compile(f"[^\\t-\\r\\x20-\\x7e{LETTERS}{MARKS}]")
 #: All that some library takes for blank, but the ASCII blank itself.
 BLANK = re.compile(r"[^\S ]|[\x1c-\x1f\x85\u180e]")
 
@@ -74,10 +78,31 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     return [s for s in symbols if s >= 0]
 
 
+def _blank(part: str) -> str:
+    for c in "\t\n\r\x0b\x0c":
+        part = part.replace(c, " ")
+    return part
+
+
+def _plain_rule(spec: dict):
+    """The tokenizer's own split as a function for lower-case words without odd characters, or None if its file has other steps than these."""
+    steps = spec["normalizer"].get("normalizers", [spec["normalizer"]])
+    known = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    split = spec["pre_tokenizer"].get("pretokenizers", [])
+    if [s for s in steps if s not in known] or known[2] not in steps or [s["type"] for s in split] != ["Split", "ByteLevel"]:
+        return None
+    first, last = split
+    rule = first["pattern"].get("Regex", "")
+    if first["behavior"] != "Removed" or not first["invert"] or last["add_prefix_space"] or last["use_regex"]:
+        return None
+    rule = rule.replace("\\p{L}", "a-zß-öø-ÿ").replace("\\p{N}", "0-9").replace("[^\\s", "[^\\t-\\r ")
+    return None if "\\p" in rule or "\\s" in rule or "(" in rule else re.compile(rule).findall
+
+
 class Codec:
     """A BPE with a word-end suffix, from a file of the tokenizers library (path is a parameter; the file is never copied)."""
 
-    def __init__(self, path: str, keep: int = 1 << 18):
+    def __init__(self, path: str, keep: int = 1 << 19):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -87,6 +112,7 @@ class Codec:
             raise ValueError("only a plain BPE without decoder can be read")
         library = Tokenizer.from_file(path)
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.plain_pieces = _plain_rule(spec)
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.unknown = self.vocab.get(model.get("unk_token"))
@@ -98,6 +124,8 @@ class Codec:
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens must be plain")
         self.added = added
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow after 255
+        self.byte = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in visible)}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.token = {i: t for t, i in (self.vocab | added).items()}
         self.keep, self.known = keep, {}
@@ -127,14 +155,11 @@ class Codec:
         at = np.array([o[0] for _, o in found], np.int64)
         return [p for p, _ in found], np.searchsorted(start, at, "right") - 1
 
-    def learn(self, words: list[str]) -> dict[str, tuple[int, bytes, str]]:
-        """For each word its number of ids, the ids as little-endian 32-bit numbers, and the decoded text."""
-        pieces, owner = self.pieces(words)
+    def learn(self, keys: list[str]) -> dict[str, tuple[bytes, str]]:
+        """entries() of words; each key is a newline and a word."""
+        pieces, owner = self.pieces([k[1:] for k in keys])
         ids, n = self.merge_all(pieces)
-        count = np.bincount(owner, n, len(words)).astype(np.int64)
-        end = np.cumsum(count)
-        raw, names = ids.astype("<u4").tobytes(), list(map(self.token.__getitem__, ids.tolist()))
-        return {w: (c, raw[4 * (e - c) : 4 * e], " ".join(names[e - c : e])) for w, c, e in zip(words, count.tolist(), end.tolist(), strict=True)}
+        return self.entries(keys, ids, np.bincount(owner, n, len(keys)).astype(np.int64))
 
     def merge_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has. Pieces of like length are merged together, tree by tree in one array."""
@@ -215,42 +240,82 @@ class Codec:
         symbols[(start[:, None] + place)[inside]] = s[inside]
         alive[(start[:, None] + place)[inside]] = s[inside] >= 0
 
+    def keys(self, part: str, out: list[str]) -> None:
+        """Appends what part is made of: pieces of plain words, and words with odd characters, which start with a newline here."""
+        odd = ODD.search(part)
+        if self.plain_pieces is None:
+            out += ["\n" + w for w in _blank(part).split(" ") if w]
+            return
+        if odd is None:
+            out += self.plain_pieces(part.lower())
+            return
+        part, at = _blank(part), 0
+        while odd is not None:
+            start = part.rfind(" ", at, odd.start()) + 1 or at
+            end = part.find(" ", odd.start())
+            end = len(part) if end < 0 else end
+            if start > at:
+                out += self.plain_pieces(part[at:start].lower())
+            out.append("\n" + part[start:end])
+            at = end
+            odd = ODD.search(part, at)
+        out += self.plain_pieces(part[at:].lower())
+
     def encode_batch(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         """Number of ids, ids as little-endian 32-bit numbers and decoded text of whole texts.
 
-        No step of the tokenizer looks across an ASCII blank, so what stands between blanks is encoded once and kept. The table of kept words is
-        emptied when it is full; words of over 64 characters aren't kept.
+        No step of the tokenizer looks across an ASCII blank, so a piece of a plain word, and a whole word with odd characters, is encoded once and kept. The
+        table of what is kept is emptied when it is full; pieces of over 64 characters aren't kept.
         """
         rows: list[list[str]] = []
         for text in texts:
             row: list[str] = []
             for k, part in enumerate(self.cut.split(text)) if self.cut else ((0, text),):
                 if k % 2:
-                    row.append("\n" + part)  # can't be a word
-                    continue
-                for c in "\t\n\r\x0b\x0c":
-                    part = part.replace(c, " ")
-                row += part.split(" ")
+                    row.append("\t" + part)  # an added token
+                elif part:
+                    self.keys(part, row)
             rows.append(row)
         wanted = set().union(*rows)
         fresh = wanted - self.known.keys()
         if len(self.known) + len(fresh) > self.keep:
             self.known.clear()
             fresh = wanted
-        found = {"": (0, b"", "")}
-        for w in [w for w in fresh if w[:1] == "\n"]:
-            found[w] = (1, array("I", [self.added[w[1:]]]).tobytes(), w[1:])
-        words = [w for w in fresh if w and w[0] != "\n"]
-        for at in range(0, len(words), 20_000):
-            found |= self.learn(words[at : at + 20_000])
-        self.known |= {w: e for w, e in found.items() if len(w) <= 64}
-        known = self.known if len(self.known) >= len(wanted) and not any(len(w) > 64 for w in found) else self.known | found
+        found = {}
+        plain, odd = [], []
+        for key in fresh:
+            if key[0] == "\t":
+                found[key] = (array("I", [self.added[key[1:]]]).tobytes(), key[1:])
+            else:
+                (odd if key[0] == "\n" else plain).append(key)
+        for at in range(0, len(plain), 50_000):
+            some = plain[at : at + 50_000]
+            ids, n = self.merge_all([w if w.isascii() else w.encode().decode("latin-1").translate(self.byte) for w in some])
+            found |= self.entries(some, ids, n)
+        for at in range(0, len(odd), 20_000):
+            found |= self.learn(odd[at : at + 20_000])
+        long = any(len(w) > 64 for w in found)
+        known = self.known | found if long else self.known
+        self.known |= {w: e for w, e in found.items() if len(w) <= 64} if long else found
         out = []
         for row in rows:
-            entries = [known[w] for w in row]
-            out.append((sum([e[0] for e in entries]), b"".join([e[1] for e in entries]), " ".join([e[2] for e in entries if e[0]])))
+            if not row:
+                out.append((0, b"", ""))
+                continue
+            ids, names = zip(*[known[w] for w in row], strict=True)
+            raw = b"".join(ids)
+            if "" in names:  # a word of odd blanks
+                names = [x for x in names if x]
+            out.append((len(raw) // 4, raw, " ".join(names)))
         return out
 
+    def entries(self, keys: list[str], ids: np.ndarray, count: np.ndarray) -> dict[str, tuple[bytes, str]]:
+        """For each key the ids as little-endian 32-bit numbers, and the decoded text; ids: those of all keys in a row."""
+        end = np.cumsum(count).tolist()
+        raw, names = ids.astype("<u4").tobytes(), list(map(self.token.__getitem__, ids.tolist()))
+        start = [0, *end[:-1]]
+        return {w: (raw[4 * a : 4 * b], " ".join(names[a:b])) for w, a, b in zip(keys, start, end, strict=True)}
+
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
         return array("I", self.encode_batch([text])[0][1]).tolist()
