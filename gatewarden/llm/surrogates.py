@@ -18,7 +18,7 @@ from .common import cut, table
 
 #: kind -> pattern, in the order in which they are tried at a place
 KINDS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w.]*[0-9])",
@@ -27,7 +27,10 @@ KINDS = {
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)",
     "name": r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\w)",
 }
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: first character -> kinds that can start with it
+STARTS = {"[a-z]": ("email", "secret"), "[A-Z]": ("email", "iban", "name"), "[0-9]": ("email", "secret", "ip", "ssn", "card", "phone"), "[+(]": ("phone",)}
+#: No kind starts after an ASCII letter or digit; said once, it spares most places the alternatives.
+ANY = "(?<![0-9A-Za-z])(?:" + "|".join(f"(?={start})(?:{'|'.join(KINDS[k] for k in kinds)})" for start, kinds in STARTS.items()) + ")"
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame")
 GIVEN = {
     "f": ("Anna", "Clara", "Elena", "Greta", "Irene", "Julia", "Laura", "Maria", "Nina", "Paula", "Rosa", "Sofia", "Teresa", "Vera", "Alice", "Emma"),
@@ -58,33 +61,47 @@ def canonical(kind: Column, entity: Column) -> Column:
     )
 
 
-def _draw(seed: Column, i: Column, n: int) -> Column:
-    """A number under n for place i, from eight hexadecimal digits of the seed's digest."""
-    part = F.sha2(F.concat(seed, F.lit("/"), (i / 7).cast("int").cast("string")), 256)
-    return (F.conv(F.substring(part, (i % 7) * 8 + 1, F.lit(8)), 16, 10).cast("long") % n).cast("int")
+def bound(value: Column, f) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _char(seed: Column, c: Column, i: Column) -> Column:
-    out = F.when(c.rlike("[0-9]"), F.substring(F.lit("0123456789"), _draw(seed, i, 10) + 1, F.lit(1)))
+def _draw(seed: Column, i, n) -> Column:
+    """A number under n for place i; seed is a keyed digest."""
+    return F.pmod(F.xxhash64(seed, F.lit(i) if isinstance(i, int) else i), F.lit(n) if isinstance(n, int) else n).cast("int")
+
+
+def _alphabet(c: Column) -> Column:
+    """The letters or digits among which a character's replacement is chosen; empty for what stays as it is."""
+    out = F.when(c.rlike("[0-9]"), "0123456789")
     for letters in ALPHABETS:
-        out = out.when(F.instr(F.lit(letters), c) > 0, F.substring(F.lit(letters), _draw(seed, i, len(letters)) + 1, F.lit(1)))
-    return out.when(c.rlike(r"\p{Ll}"), F.substring(F.lit(ALPHABETS[0]), _draw(seed, i, 26) + 1, F.lit(1))).when(c.rlike(r"\p{Lu}"), F.substring(F.lit(ALPHABETS[1]), _draw(seed, i, 26) + 1, F.lit(1))).otherwise(c)
+        out = out.when(F.instr(F.lit(letters), c) > 0, letters)
+    return out.when(c.rlike(r"\p{Ll}"), ALPHABETS[0]).when(c.rlike(r"\p{Lu}"), ALPHABETS[1]).otherwise("")
 
 
 def _dealt(seed: Column, text: Column) -> Column:
     """text with new letters and digits; what a place gets depends on how many letters and digits stand before it, not on separators."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     zero = F.struct(F.lit("").alias("s"), F.lit(0).alias("i"))
-    return F.aggregate(chars, zero, lambda a, c: F.struct(F.concat(a["s"], _char(seed, c, a["i"])).alias("s"), (a["i"] + c.rlike(r"[0-9\p{L}]").cast("int")).alias("i")), lambda a: a["s"])
+
+    def step(a: Column, c: Column) -> Column:
+        new = lambda al: F.when(al == "", c).otherwise(F.substring(al, _draw(seed, a["i"], F.length(al)) + 1, F.lit(1)))
+        return bound(_alphabet(c), lambda al: F.struct(F.concat(a["s"], new(al)).alias("s"), (a["i"] + (al != "").cast("int")).alias("i")))
+
+    return F.aggregate(chars, zero, step, lambda a: a["s"])
 
 
 def _checked(entity: Column, dealt: Column) -> Column:
     """dealt with its last digit set so that the number passes the check sum if entity does: of ten, the one that Luhn accepts; else one that it refuses."""
-    digits = F.regexp_replace(dealt, "[^0-9]", "")
-    good = F.call_function("luhn_check", F.regexp_replace(entity, "[^0-9]", ""))
-    fits = F.filter(F.split(F.lit("0,1,2,3,4,5,6,7,8,9"), ","), lambda d: F.call_function("luhn_check", F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), d)) == good)
-    last = F.element_at(fits, (F.substring(digits, F.length(digits), F.lit(1)).cast("int") % F.size(fits)) + 1)
-    return F.concat(F.substring(dealt, F.lit(1), F.length(dealt) - 1), last)
+    luhn = lambda x: F.call_function("luhn_check", x)
+
+    def done(d: Column) -> Column:
+        fits = F.filter(F.split(F.lit("0,1,2,3,4,5,6,7,8,9"), ","), lambda x: luhn(F.concat(F.substring(d["digits"], F.lit(1), F.length(d["digits"]) - 1), x)) == d["good"])
+        last = bound(fits, lambda f: F.element_at(f, (F.substring(d["digits"], F.length(d["digits"]), F.lit(1)).cast("int") % F.size(f)) + 1))
+        return F.concat(F.substring(d["dealt"], F.lit(1), F.length(d["dealt"]) - 1), last)
+
+    good = luhn(F.regexp_replace(entity, "[^0-9]", "")).alias("good")
+    return bound(dealt, lambda d: bound(F.struct(d.alias("dealt"), F.regexp_replace(d, "[^0-9]", "").alias("digits"), good), done))
 
 
 def _mod97(text: Column) -> Column:
@@ -95,39 +112,44 @@ def _mod97(text: Column) -> Column:
 
 def _iban(seed: Column, entity: Column) -> Column:
     """Country and groups stay, the rest is dealt anew, and check digits make the remainder what it was: 1 for a valid number."""
-    rest = _dealt(seed, F.substring(entity, F.lit(5), F.length(entity)))
-    country = F.substring(entity, 1, 2)
-    zero = _mod97(F.concat(country, F.lit("00"), F.replace(rest, F.lit(" "), F.lit(""))))
-    good = _mod97(F.replace(entity, F.lit(" "), F.lit(""))) == 1
-    return F.concat(country, F.lpad((98 - zero + F.when(good, 0).otherwise(1)).cast("string"), 2, "0"), rest)
+    country, good = F.substring(entity, 1, 2), _mod97(F.replace(entity, F.lit(" "), F.lit(""))) == 1
+    zero = lambda rest: _mod97(F.concat(country, F.lit("00"), F.replace(rest, F.lit(" "), F.lit(""))))
+    digits = lambda rest: F.lpad((98 - zero(rest) + F.when(good, 0).otherwise(1)).cast("string"), 2, "0")
+    return bound(_dealt(seed, F.substring(entity, F.lit(5), F.length(entity))), lambda rest: F.concat(country, digits(rest), rest))
 
 
 def _name(seed: Column, entity: Column) -> Column:
     """Title, then a given name of the gender that the title has, or a dealt word of the same script, and dealt further words."""
-    words = F.split(entity, " ")
-    title = F.get(words, F.lit(0))
-    gender = F.when(F.regexp_replace(title, r"\.", "").isin(*FEMALE), "f").when(F.regexp_replace(title, r"\.", "").isin("Dr", "Prof"), "").otherwise("m")
-    known = lambda g: F.element_at(F.array(*map(F.lit, GIVEN[g])), _draw(seed, F.lit(0), 16) + 1)
-    first = F.get(words, F.lit(1))
-    of = F.when(first.isin(*GIVEN["f"]), "f").when(first.isin(*GIVEN["m"]), "m").otherwise(gender)
-    latin = first.rlike(r"^[\x41-ɏ]+$") & (F.size(words) > 2)
-    new = F.when(latin & (of == "f"), known("f")).when(latin & (of == "m"), known("m")).otherwise(_dealt(seed, first))
-    return F.concat(title, F.lit(" "), new, F.when(F.size(words) > 2, F.concat(F.lit(" "), _dealt(F.concat(seed, F.lit("#")), F.get(words, F.lit(2))))).otherwise(""))
+
+    def of(w: Column) -> Column:
+        words, title, first = w, F.regexp_replace(F.get(w, F.lit(0)), r"\.", ""), F.get(w, F.lit(1))
+        by_title = F.when(title.isin(*FEMALE), "f").when(title.isin("Dr", "Prof"), "").otherwise("m")
+        gender = F.when(first.isin(*GIVEN["f"]), "f").when(first.isin(*GIVEN["m"]), "m").otherwise(by_title)
+        known = F.when(gender == "f", F.array(*map(F.lit, GIVEN["f"]))).when(gender == "m", F.array(*map(F.lit, GIVEN["m"])))
+        latin = first.rlike(r"^[\x41-ɏ]+$") & (F.size(words) > 2)
+        new = F.coalesce(F.when(latin, F.element_at(known, _draw(seed, 0, 16) + 1)), _dealt(seed, first))
+        return F.concat(F.get(w, F.lit(0)), F.lit(" "), new, F.when(F.size(words) > 2, F.concat(F.lit(" "), _dealt(F.concat(seed, F.lit("#")), F.get(words, F.lit(2))))).otherwise(""))
+
+    return bound(F.split(entity, " "), of)
 
 
 def surrogate(kind: Column, entity: Column, same: Column, attempt: Column, key: str) -> Column:
     """The replacement of entity, whose canonical form is same, at an attempt."""
+
+    def made(b: Column) -> Column:
+        kind, entity, seed = b["kind"], b["entity"], b["seed"]
+        lower, at, tld = F.lower(entity), F.instr(entity, "@"), F.regexp_extract(entity, r"(\.[A-Za-z]{2,})$", 1)
+        email = F.concat(_dealt(seed, F.substring(lower, F.lit(1), at - 1)), F.lit("@"), _dealt(F.concat(seed, F.lit("@")), F.substring(lower, at + 1, F.length(entity) - at - F.length(tld))), F.lower(tld))
+        ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
+        ssn = F.concat((_draw(seed, 0, 565) + 101).cast("string"), F.lit("-"), F.lpad((_draw(seed, 1, 99) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((_draw(seed, 2, 9999) + 1).cast("string"), 4, "0"))
+        secret = F.substring(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256)), F.lit(1), F.length(entity))
+        country = F.regexp_extract(entity, r"^(\+[0-9]{1,3}[ .-])?", 1)
+        phone = F.concat(country, _dealt(seed, F.substring(entity, F.length(country) + 1, F.length(entity))))
+        card = _checked(entity, _dealt(seed, entity))
+        return F.when(kind == "email", email).when(kind == "iban", _iban(seed, entity)).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "phone", phone).otherwise(_name(seed, entity))
+
     seed = F.sha2(F.concat(F.lit(key), F.lit("|"), attempt.cast("string"), F.lit("|"), same), 256)
-    at = F.instr(entity, "@")
-    tld = F.regexp_extract(entity, r"(\.[A-Za-z]{2,})$", 1)
-    lower = F.lower(entity)
-    email = F.concat(_dealt(seed, F.substring(lower, F.lit(1), at - 1)), F.lit("@"), _dealt(F.concat(seed, F.lit("@")), F.substring(lower, at + 1, F.length(entity) - at - F.length(tld))), F.lower(tld))
-    ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
-    ssn = F.concat((_draw(seed, F.lit(0), 565) + 101).cast("string"), F.lit("-"), F.lpad((_draw(seed, F.lit(1), 99) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((_draw(seed, F.lit(2), 9999) + 1).cast("string"), 4, "0"))
-    secret = F.substring(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256)), F.lit(1), F.length(entity))
-    country = F.regexp_extract(entity, r"^(\+[0-9]{1,3}[ .-])?", 1)
-    phone = F.concat(country, _dealt(seed, F.substring(entity, F.length(country) + 1, F.length(entity))))
-    return F.when(kind == "email", email).when(kind == "iban", _iban(seed, entity)).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "card", _checked(entity, _dealt(seed, entity))).when(kind == "phone", phone).otherwise(_name(seed, entity))
+    return bound(F.struct(kind.alias("kind"), entity.alias("entity"), seed.alias("seed")), made)
 
 
 def collisions(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
@@ -136,26 +158,29 @@ def collisions(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     Each round deals surrogates to all, and raises the attempt of a form whose surrogate another, smaller, form has too, or which is itself an
     entity of the corpus. Surrogates are compared in canonical form.
     """
-    forms = cut(found.groupBy("same").agg(F.first("kind").alias("kind"), F.min("entity").alias("entity")).withColumn("attempt", F.lit(0)))
+    kind, entity, same, attempt = (F.col(c) for c in ("kind", "entity", "same", "attempt"))
+    out = bound(surrogate(kind, entity, same, attempt, key), lambda new: canonical(kind, new)).alias("out")
+    forms = found.groupBy("same").agg(F.first("kind").alias("kind"), F.min("entity").alias("entity")).withColumn("attempt", F.lit(0))
+    forms = cut(forms.select("same", "kind", "entity", "attempt", out))
     for _ in range(rounds):
-        new = forms.withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("same"), F.col("attempt"), key))
-        new = new.withColumn("out", canonical(F.col("kind"), F.col("new")))
-        held = new.groupBy("out").agg(F.min("same").alias("owner"), F.count("*").alias("n")).where("n > 1").select("out", "owner")
-        real = forms.select(F.col("same").alias("out")).join(new.select("out"), "out", "left_semi").select("out", F.lit(None).cast("string").alias("owner"))
-        bad = new.join(held.unionByName(real), "out").where("owner is null or owner <> same").select("same").distinct()
+        held = forms.groupBy("out").agg(F.min("same").alias("owner"), F.count("*").alias("n")).where("n > 1").select("out", "owner")
+        real = forms.select(F.col("same").alias("out")).join(forms.select("out"), "out", "left_semi").select("out", F.lit(None).cast("string").alias("owner"))
+        bad = forms.join(held.unionByName(real), "out").where("owner is null or owner <> same").select("same").distinct()
         bad = cut(bad)
         if bad.isEmpty():
             break
-        forms = cut(forms.join(bad.withColumn("hit", F.lit(1)), "same", "left").withColumn("attempt", F.col("attempt") + F.coalesce("hit", F.lit(0))).drop("hit"))
+        again = forms.drop("out").join(bad.withColumn("hit", F.lit(1)), "same", "left")
+        forms = cut(again.withColumn("attempt", F.col("attempt") + F.coalesce("hit", F.lit(0))).select("same", "kind", "entity", "attempt", out))
     return forms.where("attempt > 0").select("same", "attempt")
 
 
-def replace(docs: DataFrame, text: str = "text", key: str = "gatewarden", name: str = "doc_id", small_rows: int = 10_000) -> DataFrame:
-    """docs with entities replaced in text, and n_entities, entities: array of (kind, start in the new text in characters, surrogate).
+def replace(docs: DataFrame, text: str = "text", key: str = "gatewarden", small_rows: int = 1_000) -> DataFrame:
+    """docs with entities replaced in text, and n_entities, entities: array of (kind, surrogate) in order of place. Columns of these names are replaced.
 
     Collided forms are few as a rule. Where they are small_rows at most they travel as one map; where there are more, they are joined to
     the entities of the documents that hold them.
     """
+    docs = docs.drop("n_entities", "entities")
     entities = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(ANY), 0)
     each = docs.where(F.col(text).rlike(ANY)).select(F.explode(F.array_distinct(entities)).alias("entity")).distinct()
     each = each.withColumn("kind", kind_of(F.col("entity"))).withColumn("same", canonical(F.col("kind"), F.col("entity")))
@@ -174,14 +199,9 @@ def replace(docs: DataFrame, text: str = "text", key: str = "gatewarden", name:
         with_own = with_own.withColumn("__t", F.xxhash64(text)).join(maps, "__t", "left").drop("__t")
 
     def one(e: Column) -> Column:
-        kind = kind_of(e)
-        return F.get(
-            F.transform(
-                F.array(F.struct(kind.alias("kind"), canonical(kind, e).alias("same"))),
-                lambda k: F.struct(k["kind"].alias("kind"), surrogate(k["kind"], e, k["same"], F.coalesce(F.col("__a")[k["same"]], F.lit(0)), key).alias("new")),
-            ),
-            F.lit(0),
-        )
+        new = lambda k: surrogate(k["kind"], e, k["same"], F.coalesce(F.col("__a")[k["same"]], F.lit(0)), key)
+        form = lambda kind: bound(F.struct(kind.alias("kind"), canonical(kind, e).alias("same")), lambda k: F.struct(k["kind"].alias("kind"), new(k).alias("new")))
+        return bound(kind_of(e), form)
 
     out = with_own.withColumns({"__s": F.transform("__e", one), "__g": F.when(F.col("__e").isNotNull(), F.split(F.col(text), ANY, -1))})
     joined = F.array_join(F.zip_with("__g", "__s", lambda g, s: F.concat(F.coalesce(g, F.lit("")), F.coalesce(s["new"], F.lit("")))), "")
