@@ -150,7 +150,7 @@ def pii_ipv6(spark, sf):
     return planted(spark, sf).select("doc_id", c.replace_kind(F.when(F.col("doc_id") % 2 == 0, "at 2001:db8::1 now").otherwise("at 12:30:45 now"), "IP6").alias("result"))
 
 
-@query("injection_pattern_hits", T + ", p AS (SELECT unnest(range(0, {n})) AS pattern, unnest([{p}]) AS source) SELECT pattern, count(*) AS n FROM t, p WHERE regexp_matches(text, source, 'i') GROUP BY pattern".format(n=len(g.INJECTION), p=", ".join(map(re2, g.INJECTION))))
+@query("injection_pattern_hits", T + ", p AS (SELECT unnest(range(0, {n})) AS pattern, unnest([{p}]) AS source) SELECT pattern, count(*) AS n FROM t, p WHERE regexp_matches(text, p.source, 'i') GROUP BY pattern".format(n=len(g.INJECTION), p=", ".join(map(re2, g.INJECTION))))
 def injection_pattern_hits(spark, sf):
     """Documents per pattern. All patterns are tried on a row at once; only hits are exploded."""
     hits = F.array_compact(F.array(*[F.when(c.matches(F.col("text"), p), F.lit(k).cast("long")) for k, p in enumerate(g.INJECTION)]))
@@ -275,7 +275,7 @@ def policy_findings(spark, sf):
     return found.select("doc_id", F.size(F.filter("policy_findings", lambda f: f["rule"] == "project")).cast("long").alias("n"))
 
 
-@query("policy_rule_join", T + "SELECT name, count(*) AS n FROM t, (VALUES ('falcon', 'falcon'), ('jailbreak', 'jailbreak'), ('token', 'ghp_')) r(name, source) WHERE regexp_matches(text, source, 'i') GROUP BY name")
+@query("policy_rule_join", T + "SELECT name, count(*) AS n FROM t, (VALUES ('falcon', 'falcon'), ('jailbreak', 'jailbreak'), ('token', 'ghp_')) r(name, source) WHERE regexp_matches(text, r.source, 'i') GROUP BY name")
 def policy_rule_join(spark, sf):
     """A table of rules, broadcast: as many rows as a policy has rules, a few hundred at most."""
     rules = spark.createDataFrame([("falcon", "falcon"), ("jailbreak", "jailbreak"), ("token", "ghp_")], "name string, rule_source string")
