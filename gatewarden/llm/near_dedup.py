@@ -7,7 +7,7 @@ Poisson process of marked points, of which those whose mark lies below the eleme
 Equal texts are one class from the start; a class is named by a 64-bit hash of its text until its smallest key is looked up at the end. Signatures are cut into bands; classes that agree on a band meet in a bucket, each pair that is
 proposed is verified by the multisets' exact overlap, and linked classes form components. A bucket proposes pairs in three rounds, each only
 between classes that are not yet connected: its smallest class against all; its most typical class against all (small buckets: all
-pairs); then, in blocks of bounded size, all pairs left. Rounds two and three leave out pairs whose signatures say that they lie more than
+pairs; large ones: in parts of bounded size); then, in blocks of bounded size, all pairs left. Rounds two and three leave out pairs whose signatures say that they lie more than
 four and a half standard deviations under the threshold. So no bucket is capped, and a group of thousands of near copies costs a few pairs for each member.
 
 A null text, and one without words, is similar to nothing: a class of its own, kept. A text of fewer than five words has one run
@@ -233,7 +233,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
             sigs = _signed(texts.join(of.select("rep").distinct(), "rep", "left_semi"), "text", k, "sig")
             of = of.join(sigs, "rep")
             if turn == 1:
-                pairs = of.groupBy("bucket").applyInPandas(_typical(limit, small), "a long, b long")
+                part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / block)).alias("part")
+                pairs = of.groupBy("bucket", part).applyInPandas(_typical(limit, small), "a long, b long")
             else:
                 big = of.where(F.col("size") > small).withColumns({"g": F.ceil(F.col("size") / block).cast("int"), "me": F.lit(0)})
                 big = big.withColumn("me", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
