@@ -326,3 +326,73 @@ def html_page(spark, sf):
 def windowed(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     return e.groupBy(F.window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors")).select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("start"), "n", "errors")
+
+
+@query("split_blocked", DECIDED + "SELECT doc_id, risk_score FROM v WHERE NOT allowed")
+def split_blocked(spark, sf):
+    return d.split(decided(spark, sf))[1].select("doc_id", "risk_score")
+
+
+@query("check_columns", DECIDED + "SELECT doc_id, allowed AS text_allowed, true AS source_allowed FROM v")
+def two_columns(spark, sf):
+    out = d.check_columns(planted(spark, sf), ["text", "source"])
+    return out.select("doc_id", F.col("text_decision.allowed").alias("text_allowed"), F.col("source_decision.allowed").alias("source_allowed"))
+
+
+LATE = r"(?:^|[^\pL\pN_])late(?:[^\pL\pN_]|$)"
+
+
+@query("rule_names", DECIDED + f"SELECT doc_id, array_to_string(list_filter([CASE WHEN ok AND {hit(LATE)} THEN 'late' END, CASE WHEN ok AND {hit('Project Falcon')} THEN 'project' END], lambda x: x IS NOT NULL), ',') AS names FROM v")
+def rule_names(spark, sf):
+    return d.summary(decided(spark, sf, Policy(rules=RULES)), "doc_id").select("doc_id", F.array_join(F.array_sort("policy_rules"), ",").alias("names"))
+
+
+@query("redact_policy_spans", "SELECT doc_id, concat('[P] then ', doc_id, ' [P] and [EMAIL]') AS text FROM documents")
+def redact_policy_spans(spark, sf):
+    """Spans of a rule, and personal data in the gap after them."""
+    made = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("Project Falcon then "), F.col("doc_id").cast("string"), F.lit(" project-falcon and owner@example.com")).alias("text"))
+    policy = Policy(rules=({"name": "project", "patterns": ["project[ -]falcon"], "replacement": "[P]"},))
+    return d.redact(made, policy=policy).select("doc_id", "redaction.text")
+
+
+@query("llm_risk", LLM + "SELECT doc_id, greatest(round(least(1.0::DOUBLE, CASE WHEN injection_attempt THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN secret_leaked THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN pii_detected OR says THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN NOT ok OR injection_attempt THEN 0.15::DOUBLE ELSE 0 END), 4), CASE WHEN ok AND NOT down THEN 0.05::DOUBLE ELSE 0 END) AS risk_score FROM l")
+def llm_risk(spark, sf):
+    return decided(spark, sf, provider=stub).select("doc_id", "risk_score")
+
+
+@query("event_metadata", DECIDED + "SELECT doc_id, 'Source_Name' AS key, source AS value FROM v WHERE risk_score > 0")
+def event_metadata(spark, sf):
+    made = events(decided(spark, sf), keep=("doc_id",), meta=F.create_map(F.lit("Source Name"), F.col("source")))
+    return made.select("doc_id", F.explode("event.metadata").alias("key", "value"))
+
+
+@query("url_decode", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a b c' ELSE '100% a+b' END AS result FROM documents")
+def url_decode(spark, sf):
+    """One layer; a text with a malformed escape stays as it is."""
+    given = F.when(F.col("doc_id") % 2 == 0, "a%20b+c").otherwise("100% a+b")
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", c.url_decode(given).alias("result"))
+
+
+@query("findings_table", T + f"SELECT doc_id, strpos(text, 'ghp_abcdefghijklmnopqrstuvwx') - 1 AS start, strpos(text, 'ghp_abcdefghijklmnopqrstuvwx') + 27 AS stop FROM t WHERE doc_id % {len(PAYLOADS)} = 4")
+def findings_table(spark, sf):
+    """Findings as rows, from the table function."""
+    from ..sources.sql import register
+
+    register(spark)
+    planted(spark, sf).createOrReplaceTempView("planted_documents")
+    return spark.sql("SELECT doc_id, CAST(f.start AS BIGINT) AS start, CAST(f.end AS BIGINT) AS stop FROM planted_documents, LATERAL guard_findings(text) f WHERE f.name = 'secret_token'")
+
+
+@query("upload_check")
+def uploads(spark, sf):
+    """Decisions on pages, whose text an extractor takes out of the markup."""
+    from ..session import upload_check
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    return upload_check(pages, "html", lambda x: F.regexp_replace(x, "<[^>]*>", " ")).select("page_id", "allowed", "pii_detected", "risk_score")
+
+
+@query("row_previews")
+def previews(spark, sf):
+    made = events(decided(spark, sf), text="text", keep=("doc_id",))
+    return made.select("doc_id", "event.input_preview", "event.policy_rule_count")
