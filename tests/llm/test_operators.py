@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewarden.llm import bpe, byte_cnn, embedding_dedup, mixing, near_dedup, quality_rules, substring_dedup, surrogates, toxicity, url_filter
+from gatewarden.llm.common import components
 from tests.llm.test_numpy_parts import prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rep long, n_words long, entities string"
@@ -50,6 +51,8 @@ def test_near_duplicates_against_brute_force(spark):
     got = near_dedup.classes(docs).orderBy("doc_id").collect()
     assert [r.class_id for r in got] == low
     assert [r.kept for r in got] == [k == c for k, c in enumerate(low)]
+    parts = near_dedup.classes(docs, small=4, block=16).collect()  # large buckets, in parts and blocks
+    assert {r.doc_id: r.class_id for r in parts} == dict(enumerate(low))
     twice = near_dedup.keep_one(docs.unionByName(docs))
     assert twice.count() == len(set(low)) and twice.columns == docs.columns
 
@@ -202,3 +205,15 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(k, int(k < 60)) for k in range(120)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} <= {*range(60), 121} and max(Counter(r.doc_id for r in got).values()) == 2
+
+
+def test_components(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2000 + k) for k in range(1, 30)] + [(3000, 3000)]
+    low = {x: x for e in edges for x in e}
+    for _ in range(300):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {x: c for x, c in low.items() if x != 3000}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
