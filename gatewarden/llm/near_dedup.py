@@ -206,9 +206,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     bands = cut(bands)
     full = bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
     member = cut(bands.join(full, "bucket"))
-    # texts that meet another in some bucket: all that later rounds read
-    met = member.select("rep").distinct()
-    texts = mine.where("wordy").join(copies, ["rep", "h2"]).where("id = low").join(met, "rep", "left_semi").select("rep", "text")
+    # texts that meet another in some bucket: all that later rounds read, each from its row of the smallest key
+    chosen = copies.join(member.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min("low").alias("id"))
+    texts = mine.where("wordy").select("rep", "id", "text").join(chosen, ["rep", "id"]).dropDuplicates(["rep", "id"]).select("rep", "text")
     texts = written(texts)
     tested = None
     links = None
