@@ -172,3 +172,20 @@ def _parse(text: str, path: str):
         return yaml.load(text, Loader)
     except yaml.YAMLError as e:
         raise ConfigurationError(f"policy file isn't safe YAML: {path}") from e
+
+
+def write_policy_template(path: str) -> str:
+    """A JSON policy file with a section for each of three environments, to be edited. A file that is there already is kept, and an error raised."""
+    section = {"name": "default", "max_input_length": 10_000, "block_pii": False, "block_injections": True, "block_secrets": False, "llm_failure_mode": "allow", "secret_patterns": [], "rules": []}
+    sample = {"name": "restricted_project", "terms": ["Example Project"], "match": "whole_word", "block": True, "description": "Names of unreleased projects", "replacement": "[PROJECT]"}
+    data = {
+        "development": section | {"name": "development"},
+        "test": section | {"name": "test"},
+        "production": section | {"name": "production", "block_secrets": True, "llm_failure_mode": "block", "rules": [sample]},
+    }
+    try:
+        with open(path, "x", encoding="utf-8") as f:
+            json.dump(data, f, indent=2)
+    except FileExistsError as e:
+        raise ConfigurationError(f"policy file is there already: {path}") from e
+    return path
