@@ -59,11 +59,11 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         more = min(int(counts[k] - take[k]), left // int(lengths[k]))
         take[k] += more
         left -= more * int(lengths[k])
-    k = int(np.argmax(take > 0)) if (take > 0).any() else None
-    if left and k is not None:
-        longest = int(np.argmax(np.where(take > 0, lengths, 0)))
-        take[longest] -= 1
-        left += int(lengths[longest])
+    if left:  # one document each of a few lengths that were taken
+        some = np.flatnonzero(take > 0)
+        back = some[np.unique(np.linspace(0, len(some) - 1, 6).astype(np.int64))] if len(some) else some
+        take[back] -= 1
+        left += int(lengths[back].sum())
     if not left:
         return take
     mask, reach, steps = (1 << (left + 1)) - 1, 1, []

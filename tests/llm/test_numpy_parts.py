@@ -101,6 +101,8 @@ def test_knapsack():
         assert (take >= 0).all() and (take <= counts).all()
         got = int((take * lengths).sum())
         assert got <= budget and (budget - got < lengths.max() or (take == counts).all())
+    lengths = np.array(sorted(rng.sample(range(40, 200), 20)))
+    assert sum(b - int((mixing.knapsack(lengths, np.ones(20, np.int64), b) * lengths).sum()) for b in range(500, 1500, 50)) <= 20
 
 
 def test_targets():

@@ -78,7 +78,7 @@ def test_stages(spark, tmp_path):
     words = Counter()
     for _, t, s, _ in taken.values():
         words[s] += t
-    assert all(abs(words[s] - target) <= 1 for _, _, s, target in taken.values())
+    assert all(abs(words[s] - target) <= 10 for _, _, s, target in taken.values())
 
     from tokenizers import Tokenizer
 
