@@ -5,10 +5,10 @@ equal to the weighted Jaccard similarity: the weight axis is cut into levels; ov
 Poisson process of marked points, of which those whose mark lies below the element's weight count; register r keeps the earliest point that falls on it.
 
 Equal texts are one class from the start; a class is named by a 64-bit hash of its text until its smallest key is looked up at the end. Signatures are cut into bands; classes that agree on a band meet in a bucket, each pair that is
-proposed is verified by the multisets' exact overlap, and linked classes form components. A bucket proposes pairs in three rounds, each only
+proposed is verified by the multisets' exact overlap, and linked classes form components. A bucket proposes pairs in four rounds, each only
 between classes that are not yet connected: its smallest class against all; its most typical class against all (small buckets: all
-pairs; large ones: in parts of bounded size); then, in blocks of bounded size, all pairs left. Rounds two and three leave out pairs whose signatures say that they lie more than
-four and a half standard deviations under the threshold. So no bucket is capped, and a group of thousands of near copies costs a few pairs for each member.
+pairs; large ones: in parts of bounded size); of each class the likeliest partner in each block; then, in blocks of bounded size, all pairs left. Rounds after the first leave out pairs whose
+signatures, longer ones, say that they lie more than four and a half standard deviations under the threshold. So no bucket is capped, and a group of thousands of near copies costs a few pairs for each member.
 
 A null text, and one without words, is similar to nothing: a class of its own, kept. A text of fewer than five words has one run
 of all its words. Repeated rows with one doc_id belong to one class. Columns other than the key and the text are ignored.
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, mix, shingles, slices, table, utf8, written
 
 BANDS, ROWS = 20, 4
+#: Registers of the signatures by which rounds after the first leave pairs out.
+FINE = 400
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,7 +108,7 @@ def bagminhash(row: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int, m:
 
 def _signed(docs: DataFrame, text: str, k: int, what: str) -> DataFrame:
     """(rep, band, bucket) for each band of each row of (rep, text), or (rep, sig) with a byte of each register."""
-    m = BANDS * ROWS
+    m = FINE if what == "sig" else BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +177,8 @@ def _typical(limit: float, small: int):
     return propose
 
 
-def _all(limit: float):
-    """Pairs of one block of a bucket, or between two blocks, that are not yet connected."""
+def _all(limit: float, best: bool):
+    """Pairs of one block of a bucket, or between two blocks, that are not yet connected; best: of each left row only the likeliest."""
 
     def propose(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["left"]], pdf[pdf["right"]]
@@ -185,8 +187,11 @@ def _all(limit: float):
         rep, comp, out = right["rep"].to_numpy(), right["comp"].to_numpy(), []
         for k, (r, c) in enumerate(zip(left["rep"], left["comp"], strict=True)):
             j = np.flatnonzero(comp != c)
-            j = j[j > k] if own else j
-            j = j[(rs[j] == ls[k]).mean(axis=1) >= limit] if len(j) else j
+            j = j[j > k] if own and not best else j
+            if len(j):
+                like = (rs[j] == ls[k]).mean(axis=1)
+                j = j[like >= (max(limit, like.max()) if best else limit)]
+                j = j[:1] if best else j
             out.append(np.stack([np.minimum(rep[j], r), np.maximum(rep[j], r)], axis=1))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame(got, columns=["a", "b"])
@@ -218,8 +223,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         sided = sided.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
         return cut(overlap(sided, k))
 
-    limit = threshold - 4.5 * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
-    for turn in range(3):
+    limit = threshold - 4.5 * (threshold * (1 - threshold) / FINE) ** 0.5
+    for turn in range(4):
         if turn == 0:
             pairs = member.where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
         else:
@@ -227,7 +232,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
             comp = components(links, "a", "b").withColumnRenamed("id", "rep") if links else None
             of = member.where("n > 2").join(comp, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
             open_ = of.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
-            of = cut(of.join(open_, "bucket"))
+            of = cut(of.join(open_.where(F.col("size") > small) if turn > 1 else open_, "bucket"))
             if of.isEmpty():
                 break
             sigs = _signed(texts.join(of.select("rep").distinct(), "rep", "left_semi"), "text", k, "sig")
@@ -236,11 +241,11 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
                 part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / block)).alias("part")
                 pairs = of.groupBy("bucket", part).applyInPandas(_typical(limit, small), "a long, b long")
             else:
-                big = of.where(F.col("size") > small).withColumns({"g": F.ceil(F.col("size") / block).cast("int"), "me": F.lit(0)})
+                big = of.withColumns({"g": F.ceil(F.col("size") / block).cast("int"), "me": F.lit(0)})
                 big = big.withColumn("me", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
                 to = F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least(o, "me").alias("x"), F.greatest(o, "me").alias("y"))))
                 big = big.withColumn("to", to).select("bucket", "rep", "comp", "sig", "to.x", "to.y", (F.col("me") == F.col("to.x")).alias("left"), (F.col("me") == F.col("to.y")).alias("right"))
-                pairs = big.groupBy("bucket", "x", "y").applyInPandas(_all(limit), "a long, b long")
+                pairs = big.groupBy("bucket", "x", "y").applyInPandas(_all(limit, turn == 2), "a long, b long")
             pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         done = verify(pairs)
         seen = done.select("a", "b")
