@@ -17,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mix, prefix_hash, slices, span_hash, table, utf8, words
 
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
-BITS, LONGEST, GRAM, EVERY = 4, 256, 6, 2
+BITS, LONGEST, GRAM = 4, 256, 6
+#: Bytes of text that are worked on at once; arrays take some 60 times as much.
+PART = 1 << 19
 
 
 def boundaries(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, longest: int = LONGEST) -> np.ndarray:
@@ -66,65 +68,91 @@ def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, starts - shift, ends - shift, digest
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM, every: int = EVERY) -> tuple[np.ndarray, ...]:
-    """(row, first chunk, digest) of windows of gram chunks that start at a chunk whose digest is 0 modulo every; and the chunks' row, start, end, digest.
+def windows(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(row, first chunk, digest) of all windows of gram chunks; and the chunks' row, start, end, digest.
 
-    Which windows are taken depends on content alone, so a repeated passage has the same windows in each place.
+    Windows depend on content alone, so a repeated passage has the same ones in each place. None is left out: a run of a short passage would lose its ends, and its words with them.
     """
     row, start, end, digest = chunked(data, offsets)
     full = np.flatnonzero((row[: len(row) - gram + 1] == row[gram - 1 :]) if len(row) >= gram else np.zeros(0, bool))
-    full = full[digest[full] % np.uint64(every) == 0]
     h = np.zeros(len(full), np.uint64)
     for k in range(gram):
         h = mix(h * np.uint64(0x9FB21C651E98DF25) + digest[full + k])
     return row[full], full, h, (row, start, end, digest)
 
 
-def _digests(docs: DataFrame, text: str) -> DataFrame:
-    """(id, at, digest): at is the first byte of the window."""
+def _digests(docs: DataFrame, text: str, hot: np.ndarray, only: bool = False, low: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(id, at, digest): at is the first byte of the window. Digests in hot (sorted) are left out, or nothing but them is given, with low_id and low_at if low has these for each."""
+    names = ["id", "at", "digest"] + (["low_id", "low_at"] if low else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, PART):
                 off = offsets[a : b + 1] - offsets[a]
                 row, first, h, (_, start, _, _) = windows(data[offsets[a] : offsets[b]], off)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][row]), pa.array(start[first] - off[row]), pa.array(h.view(np.int64))], names=["id", "at", "digest"])
+                if len(hot):
+                    k = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    take = (hot[k] == h) == only
+                    row, first, h, k = row[take], first[take], h[take], k[take]
+                columns = [keys[a:b][row], start[first] - off[row], h.view(np.int64)] + ([x[k] for x in low] if low else [])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
-    return docs.select("id", text).mapInArrow(run, "id long, at long, digest long")
+    return docs.select("id", text).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def passages(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = 20) -> DataFrame:
+def _hot(rows: DataFrame, one_in: int, least: int, most: int = 10_000) -> np.ndarray:
+    """Sorted digests that so many windows of a sample of documents have; the commonest of them, if they are more than most.
+
+    Only the way that their rows take depends on it, never the result.
+    """
+    some = _digests(rows.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0), "t", np.zeros(0, np.uint64))
+    counts = some.groupBy("digest").count().where(F.col("count") >= least)
+    return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "digest").limit(most).collect()], np.int64).view(np.uint64))
+
+
+def passages(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = 20, hot_one_in: int = 32, hot_least: int = 32) -> DataFrame:
     """(key, start, end, n_words, first_doc_id, kept) of each repeated passage: bytes of the text in UTF-8, its words, the document with the first occurrence.
 
-    kept marks first occurrences: what stays when the others are cut out. Only windows' digests are shuffled; hot digests are counted before the shuffle, and a
-    document's repeated windows come back to it as one list.
+    kept marks first occurrences: what stays when the others are cut out. Only windows' digests are shuffled, once. Hot digests, known from a sample, aren't: their
+    first occurrences, 10 000 at most, are found before a shuffle and handed to them. A document's repeated windows come back to it as one list.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("id is not null")
-    found = _digests(rows, "t")
-    first = found.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("low"), F.count("*").alias("n")).where("n > 1")
-    marked = found.join(first, "digest").groupBy("id").agg(F.collect_list(F.struct("at", F.col("low.id").alias("from"), (F.struct("id", "at") == F.col("low")).alias("kept"))).alias("hits"))
+    hot = _hot(rows, hot_one_in, hot_least)
+    place = F.struct("id", "at")
+    group = Window.partitionBy("digest")
+    found = _digests(rows, "t", hot).withColumns({"low": F.min(place).over(group), "n": F.count("*").over(group)}).where("n > 1").select("id", "at", "low")
+    if len(hot):
+        low = {d: p for d, p in _digests(rows, "t", hot, only=True).groupBy("digest").agg(F.min(place)).collect()}  # as many rows as hot has
+        firsts = [low[d] for d in hot.view(np.int64).tolist()]
+        held = _digests(rows, "t", hot, only=True, low=(np.array([x[0] for x in firsts]), np.array([x[1] for x in firsts])))
+        found = found.unionByName(held.select("id", "at", F.struct(F.col("low_id").alias("id"), F.col("low_at").alias("at")).alias("low")))
+    marked = found.groupBy("id").agg(F.collect_list(F.struct("at", F.col("low.id").alias("from"), (place == F.col("low")).alias("kept"))).alias("hits"))
     back = rows.join(marked, "id")
     schema = "id long, start long, end long, n_words long, first_doc_id long, kept boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n in range(0, batch.num_rows, 64):
-                part = batch.slice(n, 64)
-                data, offsets = utf8(part.column(1))
+            texts, borders = utf8(batch.column(1))
+            names, lists = batch.column(0).to_pylist(), batch.column(2)
+            upto, flat = lists.offsets.to_numpy(), lists.values
+            at, source_id, is_first = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for low, high in slices(borders, PART):
+                data, offsets = texts[borders[low] : borders[high]], borders[low : high + 1] - borders[low]
                 row, start, end, _ = chunked(data, offsets)
                 w_row, w_start, w_end = words(data, offsets)
                 out: list[list] = [[], [], [], [], [], []]
-                for k, (name, hits) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                for k, name in enumerate(names[low:high]):
                     a, b = np.searchsorted(row, [k, k + 1])
                     s, e = start[a:b] - offsets[k], end[a:b] - offsets[k]
                     p, q = np.searchsorted(w_row, [k, k + 1])
                     ws, we = w_start[p:q] - offsets[k], w_end[p:q] - offsets[k]
-                    hits = sorted({(h["at"], h["from"], h["kept"]) for h in hits})
-                    first_chunk = np.searchsorted(s, [h[0] for h in hits])
+                    mine = slice(upto[low + k], upto[low + k + 1])
+                    order = np.lexsort((is_first[mine], source_id[mine], at[mine]))
+                    hits = zip(np.searchsorted(s, at[mine][order]).tolist(), source_id[mine][order].tolist(), is_first[mine][order].tolist(), strict=True)
                     runs: list[list] = []
-                    for c, (_, source, kept) in zip(first_chunk.tolist(), hits, strict=True):
+                    for c, source, kept in hits:
                         if runs and c <= runs[-1][1] and runs[-1][3] == kept:
                             runs[-1][1] = max(runs[-1][1], c + GRAM)
                         else:

@@ -73,6 +73,22 @@ def test_passages(spark):
     assert substring_dedup.passages(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_short_passages_are_found(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 6)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for _ in range(1500):
+        p = some(51)
+        texts += [f"{some(20)} {p} {some(20)}", f"{some(9)} {p} {some(30)}"]
+    docs = documents(spark, texts)
+    got = substring_dedup.passages(docs)
+    assert got.where("not kept and n_words <= 51").select("doc_id").distinct().count() >= 0.99 * 1500
+    hot = substring_dedup.passages(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000)), hot_one_in=1, hot_least=3)  # by the way of hot digests
+    plain = substring_dedup.passages(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000)))
+    assert sorted(hot.collect()) == sorted(plain.collect())
+
+
 def test_bpe(spark):
     got = bpe.encode(documents(spark, ["Hello there", None, "", "x" * 9000, "Hello there"]), bpe.default_path()).orderBy("doc_id").collect()
     assert got[0].ids == got[4].ids and got[1].n_tokens == got[2].n_tokens == 0 and got[1].ids_sha256 == got[2].ids_sha256
