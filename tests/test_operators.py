@@ -110,3 +110,16 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     run = turns_across_batches(stream).writeStream.format("memory").queryName("turns").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert [(r.conv_id, r.turn) for r in spark.table("turns").collect()] == [(1, 1)]
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    from gatewarden.plans import catalogue
+
+    long = "some plain words " * 500
+    kinds = [k for k in catalogue._HIDDEN if k != "url"]
+    rows = [(3 * k + 1, f"{long}{catalogue._HIDDEN[kind]} {long}", "en", "a") for k, kind in enumerate(kinds)] + [(99, f"{long}PF-123 {long}", "en", "a"), (98, long, "en", "a"), (97, None, "en", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {name: {r.doc_id: r.result for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()} for name in [f"injection_{k}" for k in kinds] + ["policy_regexp"]}
+    for k, kind in enumerate(kinds):
+        assert got[f"injection_{kind}"][3 * k + 1] and not got[f"injection_{kind}"][98] and not got[f"injection_{kind}"][97]
+    assert [d for d, hit in got["policy_regexp"].items() if hit] == [99]
