@@ -45,8 +45,11 @@ def links(pages: DataFrame, url: str, html: str) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, a: str, b: str, damping: float, rounds: int) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds (host, weight; weights sum to 1) along a -> b.
+def walk(edges: DataFrame, seeds: DataFrame, a: str, b: str, damping: float, tolerance: float) -> DataFrame:
+    """(host, rank): personalised PageRank from seeds (host, weight) along a -> b, right to tolerance at each host.
+
+    What newly arrives shrinks by damping a round at least, so what is still to come is at most damping / (1 - damping) times its sum; the walk
+    ends once that is within tolerance.
 
     What arrives is summed before the shuffle; a host with very many links is a skewed key of the join, whose part Spark splits. Hosts
     that no seed reaches have no row. Each round is cut by a checkpoint.
@@ -56,19 +59,25 @@ def walk(edges: DataFrame, seeds: DataFrame, a: str, b: str, damping: float, rou
     if step.isEmpty():
         return seeds.select("host", ((1 - damping) * F.col("weight")).alias("rank"))
     base = seeds.select("host", ((1 - damping) * F.col("weight")).alias("rank"))
-    rank = base
-    for _ in range(rounds):
-        moved = step.join(rank.withColumnRenamed("host", "from"), "from").select("host", (damping * F.col("rank") * F.col("share")).alias("rank"))
-        rank = cut(moved.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank")))
+    rank = new = base
+    while True:
+        new = cut(step.join(new.withColumnRenamed("host", "from"), "from").groupBy("host").agg(F.sum(damping * F.col("rank") * F.col("share")).alias("rank")))
+        left = new.agg(F.sum("rank")).first()[0]
+        if left is None:
+            break
+        rank = cut(rank.unionByName(new).groupBy("host").agg(F.sum("rank").alias("rank")))
+        if left * damping / (1 - damping) <= tolerance:
+            break
     return rank
 
 
-def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, damping: float = 0.85, rounds: int = 8, threshold: float = 1e-9, small_rows: int = 20_000) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, damping: float = 0.85, tolerance: float = 1e-10, threshold: float = 1e-9, small_rows: int = 20_000) -> DataFrame:
     """pages with host, path, rule, trust, distrust and verdict.
 
     Seeds weigh a host by the number of its pages that a rule allows (trust) or blocks (distrust). A seed host whose pages are
     allowed and blocked by turns takes part in both walks. A host without a rule is blocked if distrust - trust > threshold and distrust is not
-    merely its own seed: what counts is rank that arrived over links.
+    merely its own seed: what counts is rank that arrived over links. They are compared in pages, each allowed or blocked page being a seed of weight 1, so that a
+    verdict depends on what a host is linked with, not on the size of the corpus; the columns trust and distrust are shares of all seeds.
     """
     pages = pages.drop(*{"host", "path", "rule", "trust", "distrust", "verdict"} - {url, html})
     judged = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
@@ -78,9 +87,9 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, d
     counts = cut(counts.where("host <> '' and allow + block > 0"))
     total = counts.agg(F.sum("allow"), F.sum("block")).first()
     ranks = None
-    for name, n, a, b in (("allow", total[0] or 0, "src", "dst"), ("block", total[1] or 0, "dst", "src")):
-        seeds = counts.where(F.col(name) > 0).select("host", (F.col(name) / F.lit(float(max(n, 1)))).alias("weight"))
-        rank = walk(edges, seeds, a, b, damping, rounds)
+    for name, a, b in (("allow", "src", "dst"), ("block", "dst", "src")):
+        seeds = counts.where(F.col(name) > 0).select("host", F.col(name).cast("double").alias("weight"))
+        rank = walk(edges, seeds, a, b, damping, tolerance)
         arrived = rank.join(seeds, "host", "left").select("host", F.greatest(F.lit(0.0), F.col("rank") - (1 - damping) * F.coalesce("weight", F.lit(0.0))).alias("r"))
         side = arrived.select(F.col("host").alias("__host"), *(F.col("r").alias(c) if c == name else F.lit(0.0).alias(c) for c in ("allow", "block")))
         ranks = side if ranks is None else ranks.unionByName(side)
@@ -88,11 +97,12 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, d
     if ranks.count() <= small_rows:
         ranks = F.broadcast(ranks)
     joined = judged.join(ranks, F.col("host") == F.col("__host"), "left")
-    suspect = F.coalesce(F.col("distrust"), F.lit(0.0)) - F.coalesce(F.col("trust"), F.lit(0.0)) > threshold
+    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    suspect = distrust - trust > threshold
     return (
-        joined.withColumns({"rule": F.col("__rule.rule"), "trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
-        .withColumn("verdict", F.coalesce(F.col("__rule.verdict"), F.when(suspect, "block").otherwise("allow")))
-        .drop("__rule", "__host")
+        joined.withColumns({"rule": F.col("__rule.rule"), "verdict": F.coalesce(F.col("__rule.verdict"), F.when(suspect, "block").otherwise("allow"))})
+        .withColumns({"trust": trust / F.lit(float(max(total[0] or 0, 1))), "distrust": distrust / F.lit(float(max(total[1] or 0, 1)))})
+        .select(*judged.drop("__rule").columns, "trust", "distrust", "rule", "verdict")
     )
 
 

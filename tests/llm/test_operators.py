@@ -148,6 +148,16 @@ def test_urls_against_brute_force(spark):
     assert url_filter.judge(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_url_verdicts_of_any_size(spark):
+    link = lambda host: f'<a href="http://{host}/x">'
+    near = [(0, "http://b.com/en/1", "", "?", "?"), (1, "http://h1.io/", link("b.com"), "?", "?")] + [(k, f"http://h{k}.io/", link(f"h{k - 1}.io"), "?", "?") for k in range(2, 13)]
+    more = [(k, f"http://k{k}.com/en/1", "", "?", "?") for k in range(100, 600)]
+    for rows in (near, near + more):
+        got = {r.page_id: r for r in url_filter.judge(pages(spark, rows), threshold=1e-3).collect()}
+        assert all(got[k].verdict == "block" for k in range(13))  # twelve links from the seed too
+        assert got[12].distrust == pytest.approx(0.15 * 0.85**12 / (len(rows) - 12))
+
+
 def test_quality_rules(spark):
     rng = random.Random(4)
     boiler = "all rights are reserved by the owner of this page"
