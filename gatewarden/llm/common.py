@@ -44,10 +44,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """cut() for tables with texts: a compressed Parquet table in the same folder."""
+    """cut() for wide tables: a compressed Parquet table in the same folder, which discard() removes."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the store that Spark writes to."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what written() wrote, once nothing reads it any more."""
+    for df in tables:
+        remove(df.sparkSession, df.written_to)
 
 
 def _stars(e: DataFrame) -> bool:
@@ -87,13 +102,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21):
-    """Row ranges of at most so many bytes, or of one longer row."""
+def slices(offsets: np.ndarray, most: int = 1 << 21, rows: int = 1 << 19):
+    """Row ranges of at most so many bytes, or of one longer row, and of at most so many rows."""
     at, n = 0, len(offsets) - 1
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        yield at, min(end, n)
-        at = min(end, n)
+        end = min(end, n, at + rows)
+        yield at, end
+        at = end
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,14 +119,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_KEPT = 1 << 21
+_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """Powers 0 to n of _BASE and of its inverse, kept for the next call."""
-    if len(_POWERS[0]) <= n:
-        for k, of in enumerate((_BASE, _BACK)):
-            _POWERS[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 21), of, np.uint64)]))
+    """Powers 0 to n of _BASE and of its inverse; those for up to 2 MB, 32 MB in all, are kept for the next call."""
+    made = lambda m: [np.cumprod(np.concatenate([[np.uint64(1)], np.full(m, of, np.uint64)])) for of in (_BASE, _BACK)]
+    if n > _KEPT:
+        return made(n)
+    if not _POWERS:
+        _POWERS.extend(made(_KEPT))
     return _POWERS
 
 

@@ -51,7 +51,7 @@ def test_near_duplicates_against_brute_force(spark):
     got = near_dedup.classes(docs).orderBy("doc_id").collect()
     assert [r.class_id for r in got] == low
     assert [r.kept for r in got] == [k == c for k, c in enumerate(low)]
-    parts = near_dedup.classes(docs, small=4, block=16).collect()  # large buckets, in parts and blocks
+    parts = near_dedup.classes(docs, block=8).collect()  # large groups, in parts of four rows
     assert {r.doc_id: r.class_id for r in parts} == dict(enumerate(low))
     twice = near_dedup.keep_one(docs.unionByName(docs))
     assert twice.count() == len(set(low)) and twice.columns == docs.columns
