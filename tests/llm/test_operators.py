@@ -109,6 +109,43 @@ def test_embeddings(spark):
     assert embedding_dedup.audit(df, embedding_dedup.link(df), share=1) == 1.0
 
 
+def test_embeddings_of_many_shards_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    unit = lambda n: rng.normal(size=(n, 24))
+    hot = unit(1)
+    rows = []
+    for label in ("a", "b"):
+        groups = [c + 0.12 * rng.normal(size=(rng.integers(2, 9), 24)) for c in unit(20)]
+        x = np.concatenate([*groups, unit(150), hot + 0.02 * rng.normal(size=(60, 24)), hot + 0.33 * rng.normal(size=(25, 24))])
+        rows += [(label, v.tolist()) for v in rng.permutation(np.concatenate([x, x[:5]]))]
+    rows += [("a", [1.0, 0.1]), ("a", [1.0, 0.11]), ("a", [1.0, 0.1]), ("b", [1e200] * 24), ("b", [1e-200] * 24)]
+    df = spark.createDataFrame([(k, v, label) for k, (label, v) in enumerate(rows)], "vec_id long, embedding array<double>, label string")
+    linked = embedding_dedup.link(df, target=16, most=64, block=16).cache()
+    got = {r.vec_id: r for r in linked.collect()}
+    low, degree = list(range(len(rows))), [0] * len(rows)
+    for width in (2, 24):
+        for label in ("a", "b"):
+            ids = [k for k, (n, v) in enumerate(rows) if n == label and len(v) == width]
+            if ids:
+                u = embedding_dedup.unit(np.array([rows[k][1] for k in ids]))
+                near = u @ u.T >= 0.93
+                for i, k in enumerate(ids):
+                    degree[k] = int(near[i].sum()) - 1
+                for _ in range(len(ids)):
+                    new = [min(low[ids[j]] for j in np.flatnonzero(near[i])) for i in range(len(ids))]
+                    if new == [low[k] for k in ids]:
+                        break
+                    for i, k in enumerate(ids):
+                        low[k] = new[i]
+    found = sum(min(got[k].n_links, degree[k]) for k in got)
+    assert all(got[k].n_links <= degree[k] for k in got) and found >= 0.99 * sum(degree)
+    assert sum(got[k].component_id == low[k] for k in got) >= 0.99 * len(rows)
+    assert [got[len(rows) - k].n_links for k in (5, 4, 3)] == [2, 2, 2] and got[len(rows) - 2].n_links >= 1
+    assert embedding_dedup.audit(df, linked, share=1) >= 0.99
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, host string, trust string")
 
