@@ -4,8 +4,8 @@ Learned filters over windows of bytes run over overlapping chunks that cover the
 filter; the largest and the mean over chunks enter a logistic layer. A filter's response is a sum of table rows, one for each byte of the window, so
 that a convolution over one-hot bytes is a few look-ups.
 
-The training sample is bounded by the parameter sample; scoring covers every whole text. A text without bytes has responses of 0. Null labels are no labels.
-Repeated rows are scored each. Columns other than those named are ignored.
+The training sample is bounded by the parameter sample; scoring covers every whole text. A text without bytes has responses of 0. Null labels are no labels,
+nor are labels of keys that no document has. Repeated rows are scored each, but learned from once. An empty table gives an empty result. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, table, utf8
-from .toxicity import fold
+from .toxicity import fetched, fold, labelled, share
 
 WIDTH, FILTERS, CHUNK, STRIDE = 5, 12, 512, 448
 
@@ -83,7 +83,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float =
             ids = order[s : s + batch]
             data = np.frombuffer(b"".join(texts[i] for i in ids), np.uint8)
             offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in ids])])
-            top, row, place = pooled(data, offsets, p["tables"], True)
+            top, row, place = pooled_in_parts(data, offsets, p["tables"])
             x = summary(top, row, len(ids))
             z = x @ p["w"] + p["b"][0]
             d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[ids]) * weight[ids] / len(ids)
@@ -105,42 +105,45 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float =
     return p
 
 
-def predict(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Probability of label 1 for each row; a long row's chunks are taken in parts, so that memory doesn't grow with a text."""
-    rows = len(offsets) - 1
-    x = np.zeros((rows, 2 * FILTERS), np.float32)
-    for a, b in slices(offsets, 1 << 17):
-        own, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        if b - a == 1 and len(own) > 1 << 18:
-            tops = []
-            for s in range(0, max(1, len(own) - (CHUNK - STRIDE)), STRIDE * 256):
-                whole = pooled(own[s : s + STRIDE * 255 + CHUNK + WIDTH], np.array([0, min(len(own) - s, STRIDE * 255 + CHUNK + WIDTH)]), p["tables"])[0]
-                tops.append(whole[:256])
-            top = np.concatenate(tops)
-            x[a:b] = summary(top, np.zeros(len(top), np.int64), 1)
+def pooled_in_parts(data: np.ndarray, offsets: np.ndarray, tables: np.ndarray, part: int = 1 << 17):
+    """pooled() with places, over parts of so many bytes at most: memory grows neither with the rows nor with a long row."""
+    tops, rows, places = [np.zeros((0, tables.shape[2]), np.float32)], [np.zeros(0, np.int64)], [np.zeros((0, tables.shape[2]), np.int64)]
+    for a, b in slices(offsets, part):
+        low, high = int(offsets[a]), int(offsets[b])
+        if b - a > 1 or high - low <= 2 * part:
+            top, row, place = pooled(data[low:high], offsets[a : b + 1] - low, tables, True)
+            tops.append(top), rows.append(row + a), places.append(place + low)
             continue
-        top, row, _ = pooled(own, off, p["tables"])
-        x[a:b] = summary(top, row, b - a)
-    return 1 / (1 + np.exp(-np.clip(x @ p["w"] + p["b"][0], -40, 40)))
+        for s in range(low, max(low + 1, high - (CHUNK - STRIDE)), STRIDE * 256):  # 256 chunks of one long row at a time
+            end = min(high, s + STRIDE * 255 + CHUNK + WIDTH)
+            top, _, place = (x[:256] for x in pooled(data[s:end], np.array([0, end - s]), tables, True))
+            tops.append(top), rows.append(np.full(len(top), a)), places.append(place + s)
+    return np.concatenate(tops), np.concatenate(rows), np.concatenate(places)
+
+
+def predict(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Probability of label 1 for each row."""
+    top, row, _ = pooled_in_parts(data, offsets, p["tables"])
+    return 1 / (1 + np.exp(-np.clip(summary(top, row, len(offsets) - 1) @ p["w"] + p["b"][0], -40, 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", parts: int = 3, out: int = 1, sample: int = 2400) -> dict[str, np.ndarray] | None:
-    """The network, from at most about sample labelled rows of the training folds, half of each label where there are enough.
+    """The network, from at most about sample labelled documents of the training folds, half of each label where there are enough.
 
-    The rows are those of the smallest seeded hashes of the key. Without rows of both labels there is no network: None.
+    The documents are those of the smallest seeded hashes. Without documents of both labels there is no network: None.
     """
-    known = labels.where(fold(F.col(key), parts) != out).groupBy(key).agg(F.max(label).alias("__l")).where("__l is not null")
-    counts = {int(r[0]): r[1] for r in known.groupBy("__l").count().collect()}
+    rows = labelled(docs, labels, text, key, label, parts, out).where("__l is not null")
+    counts = {int(r[0]): r[1] for r in rows.groupBy("__l").count().collect()}
     if len(counts) < 2:
         return None
-    pick = F.pmod(F.xxhash64(F.lit(23), F.col(key)), F.lit(1_000_003))
+    pick = F.pmod(F.xxhash64(F.lit(23), F.col(key), "__t"), F.lit(1_000_003))
     keep = F.lit(False)
     for value, n in counts.items():
-        keep = keep | ((F.col("__l") == value) & (pick < int(min(1.0, sample / 2 / n) * 1_000_003) + 1))
-    # about sample rows at most, so they may be broadcast; no text is shuffled
-    got = docs.select(key, text).join(F.broadcast(known.where(keep)), key).select("__l", F.coalesce(F.col(text), F.lit("")).alias("t")).toArrow()
+        keep = keep | ((F.col("__l") == value) & (pick < share(sample // 2, n)))
+    got = fetched(docs, rows.where(keep), text, key).select("__l", F.coalesce(F.col(text), F.lit("")).alias("t")).toArrow()
     rows = sorted(zip([t.encode() for t in got["t"].to_pylist()], got["__l"].to_pylist(), strict=True))
-    return train([t for t, _ in rows], np.array([v for _, v in rows]))
+    y = np.array([v for _, v in rows])
+    return train([t for t, _ in rows], y) if len(set(y.tolist())) == 2 else None
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "text", key: str = "doc_id", parts: int = 3, out: int = 1) -> DataFrame:

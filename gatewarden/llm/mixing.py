@@ -40,12 +40,13 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     return out
 
 
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, room: int = 1 << 18) -> np.ndarray:
     """How many documents of each length to take so that the words come as near to budget as can be, never above it.
 
-    Lengths get their even share first; what is left after the largest that still fit is less than the longest length, or all are
-    taken. Over that remainder a subset-sum runs on the documents not taken yet: bits of one integer are the sums that can be reached,
-    one step for each power-of-two bundle of a length. To give it room, some of what was taken is given back first.
+    Lengths get their even share first; then what was taken is given back, evenly again, until room words (32 of the longest documents at least) or all of the budget are open. Over these a
+    subset-sum runs on all documents that aren't taken: exact where the budget is within the room, and otherwise over so many sums that it is filled but for gaps that lengths leave in any
+    case, such as a common divisor. For each sum that can be reached the first bundle (a power of two of one length) that reached it is kept, so memory is a few
+    bytes for each open word, however many lengths there are.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -53,32 +54,33 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         return counts.copy()
     if budget <= 0:
         return np.zeros_like(counts)
-    take = np.array([c * budget // total for c in counts.tolist()], np.int64)
+    open_ = max(room, 32 * int(lengths.max()))
+    part = max(0, budget - open_)
+    take = np.array([c * part // total for c in counts.tolist()], np.int64)
     left = budget - int((take * lengths).sum())
-    for k in np.argsort(-lengths, kind="stable"):
-        more = min(int(counts[k] - take[k]), left // int(lengths[k]))
-        take[k] += more
-        left -= more * int(lengths[k])
-    if left:  # one document each of a few lengths that were taken
-        some = np.flatnonzero(take > 0)
-        back = some[np.unique(np.linspace(0, len(some) - 1, 6).astype(np.int64))] if len(some) else some
-        take[back] -= 1
-        left += int(lengths[back].sum())
-    if not left:
-        return take
-    mask, reach, steps = (1 << (left + 1)) - 1, 1, []
-    for k in range(len(lengths)):
+    bundles = []
+    for k in np.argsort(-lengths, kind="stable").tolist():
         n, bundle = min(int(counts[k] - take[k]), left // int(lengths[k])), 1
-        while n > 0 and not reach >> left & 1:
-            m = min(bundle, n)
-            steps.append((k, m, reach))
-            reach |= reach << (m * int(lengths[k])) & mask
-            n, bundle = n - m, bundle * 2
-    at = reach.bit_length() - 1
-    for k, m, before in reversed(steps):
-        if not before >> at & 1:
-            at -= m * int(lengths[k])
-            take[k] += m
+        while n > 0:
+            bundles.append((k, min(bundle, n)))
+            n, bundle = n - bundle, bundle * 2
+    first = np.full(left + 1, -1, np.int32)  # -1: not reached
+    reach = np.zeros(left + 1, bool)
+    reach[0] = True
+    for b, (k, m) in enumerate(bundles):
+        w = m * int(lengths[k])
+        if w > left:
+            continue
+        new = np.flatnonzero(reach[: left + 1 - w] & ~reach[w:]) + w
+        first[new] = b
+        reach[new] = True
+        if reach[left]:
+            break
+    at = int(np.flatnonzero(reach)[-1])
+    while at:  # each step back leads to a sum that an earlier bundle reached first
+        k, m = bundles[first[at]]
+        take[k] += m
+        at -= m * int(lengths[k])
     return take
 
 

@@ -1,11 +1,11 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives, all other texts are unlabelled: some of them are toxic too. A linear classifier over hashed words is
+Confirmed toxic texts are the positives; the others are drawn from all texts and count as unlabelled: some of them are toxic too. A linear classifier over hashed words is
 trained in numpy on the class-prior-corrected risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), with the logistic loss; where the bracket
 falls below 0 its gradient is reversed, so that it is not fitted below what unlabelled text can have.
 
 The training sample is bounded by the parameters positives and unlabelled; scoring covers every whole text. A text without words gets the score
-of the bias alone. Null labels are no labels. Repeated rows are scored each. Columns other than those named are ignored.
+of the bias alone. Null labels are no labels, nor are labels of keys that no document has. Repeated rows are scored each, but learned from once. An empty table gives an empty result. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     told from chance, and long texts would gather their noise.
     """
     size = 1 << bits
+    if not positive or not unlabelled:
+        return np.zeros(size), -2.0
     among = lambda side: np.bincount(np.concatenate([np.zeros(0, np.int64), *side]), minlength=size)
     share = (among(unlabelled) + 0.5) / (len(unlabelled) + 1)
     positive = _unlike(positive, share < 0.01)
@@ -105,27 +107,44 @@ def features(docs: DataFrame, text: str, bits: int) -> DataFrame:
     return docs.select("confirmed", text).mapInArrow(run, "confirmed boolean, f array<int>")
 
 
+def labelled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, parts: int, out: int) -> DataFrame:
+    """(key, __t, __l): each different pair of key and text (by hash) of the training folds, with its label; keys whose rows are all unlabelled have none.
+
+    Labels that no document has are left out, and repeated rows count once. No text is shuffled.
+    """
+    known = labels.where(fold(F.col(key), parts) != out).groupBy(key).agg(F.max(label).alias("__l")).where("__l is not null")
+    rows = docs.where(fold(F.col(key), parts) != out).select(key, F.xxhash64(text).alias("__t")).distinct()
+    return rows.join(known, key, "left")
+
+
+def fetched(docs: DataFrame, picked: DataFrame, text: str, key: str) -> DataFrame:
+    """(__l, text) of picked (key, __t, __l), once each. picked is bounded by a sample's size, so it may be broadcast."""
+    rows = docs.select(key, F.xxhash64(text).alias("__t"), F.col(text)).join(F.broadcast(picked), [key, "__t"])
+    return rows.dropDuplicates([key, "__t"]).select("__l", text)
+
+
+def share(most: int, of: int) -> int:
+    """Of 1 000 003 equally likely values of a hash, how many to take so that about most of so many rows are left."""
+    return int(min(1.0, most / max(of, 1)) * 1_000_003) + 1
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", parts: int = 5, out: int = 0, positives: int = 3000, unlabelled: int = 9000, bits: int = 18, prior: float | None = None) -> tuple[np.ndarray, float]:
     """The classifier, from rows of the training folds only.
 
-    At most about positives confirmed texts and unlabelled other texts are taken, those of the smallest seeded hashes of the key; the prior is
-    the share of label 1 among labelled rows of the training folds, unless given.
+    At most about positives confirmed texts, and unlabelled texts of any kind, are taken, those of the smallest seeded hashes. The unlabelled ones are drawn from all texts, the
+    confirmed among them, so that their share of toxic ones is that of all texts; it is estimated by the prior: the share of label 1 among labelled documents, unless
+    given. Without a confirmed text nothing is learned: all weights are 0 and all scores the same, under 0.5.
     """
-    learn = docs.select(key, text).where(fold(F.col(key), parts) != out)
-    known = labels.where(fold(F.col(key), parts) != out).groupBy(key).agg(F.max(label).alias("__l")).where("__l is not null")
-    n, hit = known.agg(F.count("*"), F.coalesce(F.sum("__l"), F.lit(0))).first()
+    rows = labelled(docs, labels, text, key, label, parts, out)
+    total, n, hit = rows.agg(F.count("*"), F.count("__l"), F.coalesce(F.sum("__l"), F.lit(0))).first()
     if not hit:
         return np.zeros(1 << bits), -2.0
     prior = min(0.9, max(0.01, hit / n if prior is None else prior))
-    total = docs.count()
-    pick = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1_000_003))
-    tagged = known.where("__l = 1").select(key, F.lit(True).alias("confirmed"))
-    share = lambda most, of: int(min(1.0, most / max(of, 1)) * 1_000_003) + 1
-    # both lists of keys are bounded by the sample's size, so they may be broadcast; no text is shuffled
-    some, any_ = pick < share(positives, hit), pick < share(unlabelled, total)
-    pos = learn.where(some).join(F.broadcast(tagged.where(some)), key).select("confirmed", text)
-    rest = learn.where(any_).join(F.broadcast(tagged.where(any_)), key, "left_anti").select(F.lit(False).alias("confirmed"), text)
-    got = features(pos.unionByName(rest), text, bits).toArrow()
+    pick, other = (F.pmod(F.xxhash64(F.lit(k), F.col(key), "__t"), F.lit(1_000_003)) for k in (11, 12))
+    pos = rows.where((F.col("__l") == 1) & (pick < share(positives, hit))).select(key, "__t", F.lit(True).alias("__l"))
+    rest = rows.where(other < share(unlabelled, total)).select(key, "__t", F.lit(False).alias("__l"))
+    both = fetched(docs, pos, text, key).unionByName(fetched(docs, rest, text, key))
+    got = features(both.select(F.col("__l").alias("confirmed"), text), text, bits).toArrow()
     confirmed = got["confirmed"].to_numpy()
     lists = got["f"].combine_chunks()
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)

@@ -105,6 +105,31 @@ def test_knapsack():
     assert sum(b - int((mixing.knapsack(lengths, np.ones(20, np.int64), b) * lengths).sum()) for b in range(500, 1500, 50)) <= 20
 
 
+def test_knapsack_against_exhaustive_search():
+    rng = random.Random(15)
+    for _ in range(300):
+        lengths = np.array(sorted(rng.sample(range(1, 40), rng.randint(1, 6))))
+        counts = np.array([rng.randint(1, 4) for _ in lengths])
+        budget, sums = rng.randint(0, int((lengths * counts).sum())), {0}
+        for n, c in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        take = mixing.knapsack(lengths, counts, budget)
+        assert int((take * lengths).sum()) == max(s for s in sums if s <= budget) and (take <= counts).all()
+    lengths = np.arange(7, 3000, 7)
+    counts = np.array([rng.randint(1, 90) for _ in lengths])
+    for budget in (10_000_003, 20_000_002, int((lengths * counts).sum()) - 5):
+        take = mixing.knapsack(lengths, counts, budget)
+        assert int((take * lengths).sum()) == budget // 7 * 7 and (take >= 0).all() and (take <= counts).all()
+
+
+def test_long_texts_are_learned_from_in_parts():
+    rng = np.random.default_rng(2)
+    tables = rng.normal(size=(5, 256, 12)).astype("f4")
+    data, offsets = rng.integers(0, 255, 700_000).astype(np.uint8), np.array([0, 500, 500_500, 500_500, 700_000])
+    for a, b in zip(byte_cnn.pooled(data, offsets, tables, True), byte_cnn.pooled_in_parts(data, offsets, tables)):
+        assert np.allclose(a, b)
+
+
 def test_targets():
     got = mixing.targets([("b", 100), ("a", 10), (None, 50), ("c", 0)])
     assert sum(got.values()) == pytest.approx(240) and got["a"] == 20 and got["c"] == 0

@@ -215,6 +215,11 @@ def test_classifiers(spark):
     assert len(got) == 242 and sum(right) >= 0.95 * len(right) and all(0 <= r.score <= 1 for r in got)
     got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     assert len(got) == 242 and all(0 <= r.score <= 1 for r in got)
+    unmatched = labels.withColumn("doc_id", F.col("doc_id") + 1000)
+    assert byte_cnn.score(docs, byte_cnn.fit(docs, unmatched)).where("score = 0.5").count() == 242
+    assert toxicity.score(docs, toxicity.fit(docs, unmatched)).where("predicted = 0").count() == 242
+    empty = docs.limit(0)
+    assert byte_cnn.score(empty, byte_cnn.fit(empty, labels)).count() == toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
     none = labels.limit(0)
     assert byte_cnn.score(docs, byte_cnn.fit(docs, none)).where("score = 0.5").count() == 242
     assert toxicity.score(docs, toxicity.fit(docs, none)).where("predicted = 0").count() == 242
