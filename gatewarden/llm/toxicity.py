@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; the others are drawn from all texts and count as unlabelled: some of them are toxic too. A linear classifier over hashed words is
-trained in numpy on the class-prior-corrected risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), with the logistic loss; where the bracket
+Confirmed toxic texts are the positives, all other texts are unlabelled: some of them are toxic too, though fewer than of all texts. A linear classifier over hashed words is
+trained in numpy on the class-prior-corrected risk: prior * R_p(+) + (1 - prior) / (1 - left) * max(0, R_u(-) - left * R_p(-)), with the logistic loss, left being the positives' share among unlabelled texts; where the bracket
 falls below 0 its gradient is reversed, so that it is not fitted below what unlabelled text can have.
 
 The training sample is bounded by the parameters positives and unlabelled; scoring covers every whole text. A text without words gets the score
@@ -42,19 +42,24 @@ def _unlike(texts: list[np.ndarray], rare: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = 18, epochs: int = 12, rate: float = 0.05, decay: float = 1e-3, least_z: float = 6.0, batch: int = 512, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights of features and bias. positive, unlabelled: the features of each text.
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, left: float | None = None, bits: int = 18, epochs: int = 12, rate: float = 0.05, decay: float = 3e-4, least_z: float = 6.0, batch: int = 512, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights of features and bias. positive, unlabelled: the features of each text; prior: the share of positives to decide for; left: their share in unlabelled, if it is another.
 
-    Only features whose share among positives lies so many standard deviations from that among unlabelled texts get a weight: the others can't be
+    Only features whose share among positives lies so many standard deviations from that among negatives, as the prior tells it, get a weight: the others can't be
     told from chance, and long texts would gather their noise.
     """
     size = 1 << bits
     if not positive or not unlabelled:
         return np.zeros(size), -2.0
+    left = prior if left is None else left
+    scale = (1 - prior) / (1 - left)
     among = lambda side: np.bincount(np.concatenate([np.zeros(0, np.int64), *side]), minlength=size)
     share = (among(unlabelled) + 0.5) / (len(unlabelled) + 1)
     positive = _unlike(positive, share < 0.01)
     seen = among(positive)
+    # among negatives: what unlabelled texts hold less the positives' part of it
+    share = np.maximum(share - left * seen / len(positive), 0.5 / (len(unlabelled) + 1)) / (1 - left)
+    share = np.minimum(share, 1.0)
     use = (np.abs(seen - share * len(positive)) >= least_z * np.sqrt(share * (1 - share) * len(positive))) & (seen >= 3)
     texts = [t[use[t]] for t in [*positive, *unlabelled]]
     length = np.array([len(t) for t in texts])
@@ -80,12 +85,11 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
             u = order[s * batch : (s + 1) * batch]
             po, pf, ps = gather(p)
             uo, uf, us = gather(u)
-            negative = np.log1p(np.exp(np.clip(us, -40, 40))).mean() - prior * np.log1p(np.exp(np.clip(ps, -40, 40))).mean()
-            gp, gu = -prior * sigmoid(-ps) / len(p), np.zeros(len(u))
+            negative = np.log1p(np.exp(np.clip(us, -40, 40))).mean() - left * np.log1p(np.exp(np.clip(ps, -40, 40))).mean()
             if negative >= 0:
-                gu, gp = sigmoid(us) / len(u), gp - prior * sigmoid(ps) / len(p)
+                gu, gp = scale * sigmoid(us) / len(u), (-prior * sigmoid(-ps) - scale * left * sigmoid(ps)) / len(p)
             else:
-                gu, gp = -sigmoid(us) / len(u), prior * sigmoid(ps) / len(p)
+                gu, gp = -scale * sigmoid(us) / len(u), scale * left * sigmoid(ps) / len(p)
             grad = np.bincount(pf, gp[po], size) + np.bincount(uf, gu[uo], size) + decay * w
             v = 0.99 * v + 0.01 * grad**2
             w -= rate * grad / (np.sqrt(v) + 1e-6)
@@ -131,18 +135,18 @@ def share(most: int, of: int) -> int:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", parts: int = 5, out: int = 0, positives: int = 3000, unlabelled: int = 9000, bits: int = 18, prior: float | None = None) -> tuple[np.ndarray, float]:
     """The classifier, from rows of the training folds only.
 
-    At most about positives confirmed texts, and unlabelled texts of any kind, are taken, those of the smallest seeded hashes. The unlabelled ones are drawn from all texts, the
-    confirmed among them, so that their share of toxic ones is that of all texts; it is estimated by the prior: the share of label 1 among labelled documents, unless
-    given. Without a confirmed text nothing is learned: all weights are 0 and all scores the same, under 0.5.
+    At most about positives confirmed texts and unlabelled other texts are taken, those of the smallest seeded hashes. The prior is the share of label 1 among labelled documents, unless
+    given; what is left of it among texts that aren't confirmed is what the risk takes off theirs. Without a confirmed text nothing is learned: all weights are 0 and all scores the same, under 0.5.
     """
     rows = labelled(docs, labels, text, key, label, parts, out)
     total, n, hit = rows.agg(F.count("*"), F.count("__l"), F.coalesce(F.sum("__l"), F.lit(0))).first()
     if not hit:
         return np.zeros(1 << bits), -2.0
     prior = min(0.9, max(0.01, hit / n if prior is None else prior))
+    left = min(prior, max(0.0, (prior * total - hit) / max(total - hit, 1)))
     pick, other = (F.pmod(F.xxhash64(F.lit(k), F.col(key), "__t"), F.lit(1_000_003)) for k in (11, 12))
     pos = rows.where((F.col("__l") == 1) & (pick < share(positives, hit))).select(key, "__t", F.lit(True).alias("__l"))
-    rest = rows.where(other < share(unlabelled, total)).select(key, "__t", F.lit(False).alias("__l"))
+    rest = rows.where((F.coalesce("__l", F.lit(0)) != 1) & (other < share(unlabelled, total - hit))).select(key, "__t", F.lit(False).alias("__l"))
     both = fetched(docs, pos, text, key).unionByName(fetched(docs, rest, text, key))
     got = features(both.select(F.col("__l").alias("confirmed"), text), text, bits).toArrow()
     confirmed = got["confirmed"].to_numpy()
@@ -150,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
     texts = [flat[at[i] : at[i + 1]] for i in range(len(confirmed))]
     order = sorted(range(len(texts)), key=lambda i: texts[i].tobytes())  # whatever order rows came in
-    return train_nnpu([texts[i] for i in order if confirmed[i]], [texts[i] for i in order if not confirmed[i]], prior, bits)
+    return train_nnpu([texts[i] for i in order if confirmed[i]], [texts[i] for i in order if not confirmed[i]], prior, left, bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", key: str = "doc_id", parts: int = 5, out: int = 0) -> DataFrame:
