@@ -57,10 +57,10 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     share = (among(unlabelled) + 0.5) / (len(unlabelled) + 1)
     positive = _unlike(positive, share < 0.01)
     seen = among(positive)
+    spread = np.sqrt(share * (1 - share) * len(positive))
     # among negatives: what unlabelled texts hold less the positives' part of it
-    share = np.maximum(share - left * seen / len(positive), 0.5 / (len(unlabelled) + 1)) / (1 - left)
-    share = np.minimum(share, 1.0)
-    use = (np.abs(seen - share * len(positive)) >= least_z * np.sqrt(share * (1 - share) * len(positive))) & (seen >= 3)
+    share = np.maximum(share - left * seen / len(positive), 0) / (1 - left)
+    use = (np.abs(seen - share * len(positive)) >= least_z * spread) & (seen >= 3)
     texts = [t[use[t]] for t in [*positive, *unlabelled]]
     length = np.array([len(t) for t in texts])
     flat, at = np.concatenate([np.zeros(0, np.int64), *texts]), np.concatenate([[0], np.cumsum(length)])
@@ -132,11 +132,11 @@ def share(most: int, of: int) -> int:
     return int(min(1.0, most / max(of, 1)) * 1_000_003) + 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", parts: int = 5, out: int = 0, positives: int = 3000, unlabelled: int = 9000, bits: int = 18, prior: float | None = None) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", parts: int = 5, out: int = 0, positives: int = 3000, unlabelled: int = 9000, bits: int = 18, prior: float | None = None, cost: float = 4.0) -> tuple[np.ndarray, float]:
     """The classifier, from rows of the training folds only.
 
     At most about positives confirmed texts and unlabelled other texts are taken, those of the smallest seeded hashes. The prior is the share of label 1 among labelled documents, unless
-    given; what is left of it among texts that aren't confirmed is what the risk takes off theirs. Without a confirmed text nothing is learned: all weights are 0 and all scores the same, under 0.5.
+    given; cost is what a toxic text that is missed weighs against a false alarm (it raises the prior to decide for; training folds alone chose it). What is left of the prior among texts that aren't confirmed is what the risk takes off theirs. Without a confirmed text nothing is learned: all weights are 0 and all scores the same, under 0.5.
     """
     rows = labelled(docs, labels, text, key, label, parts, out)
     total, n, hit = rows.agg(F.count("*"), F.count("__l"), F.coalesce(F.sum("__l"), F.lit(0))).first()
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
     texts = [flat[at[i] : at[i + 1]] for i in range(len(confirmed))]
     order = sorted(range(len(texts)), key=lambda i: texts[i].tobytes())  # whatever order rows came in
-    return train_nnpu([texts[i] for i in order if confirmed[i]], [texts[i] for i in order if not confirmed[i]], prior, left, bits)
+    return train_nnpu([texts[i] for i in order if confirmed[i]], [texts[i] for i in order if not confirmed[i]], cost * prior / (cost * prior + 1 - prior), left, bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", key: str = "doc_id", parts: int = 5, out: int = 0) -> DataFrame:
