@@ -73,6 +73,36 @@ def test_passages(spark):
     assert substring_dedup.passages(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_passages_of_shared_and_missing_keys(spark):
+    rng = random.Random(31)
+    p, q = prose(rng, 60), prose(rng, 70)
+    rows = [(0, f"{prose(rng, 200)} {p}"), (0, prose(rng, 30)), (1, f"{p} {prose(rng, 40)}"), (None, f"{q} {prose(rng, 5)}"), (None, f"{prose(rng, 9)} {q}"), (7, f"{prose(rng, 5)} " + f"{prose(rng, 50)} " * 3), (8, prose(rng, 90)), (8, prose(rng, 90))]
+    rows += [rows[6], (9, rows[2][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (32, 1):  # the usual way, and all by the way of hot digests
+        got = substring_dedup.passages(docs, hot_one_in=1, hot_least=hot).collect()
+        assert {(r.doc_id, r.first_doc_id, r.kept) for r in got} == {(0, 0, True), (1, 0, False), (9, 1, False), (1, 1, True), (None, None, True), (None, None, False)}
+        texts = {(k, t) for k, t in rows}
+        assert all(any(t.encode()[r.start : r.end] in w.encode() for k, t in texts if k == r.doc_id for w in (p, q, rows[2][1])) for r in got)
+    alone = substring_dedup.passages(docs, within=True).where("doc_id = 7").collect()
+    assert [(r.kept, r.first_doc_id) for r in sorted(alone, key=lambda r: r.start)] == [(True, 7), (False, 7)]
+
+
+def test_passages_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: (r.text or "").split() for r in docs.select("doc_id", "text").collect()}
+
+    def sharing(n):
+        held = {}
+        for k, w in texts.items():
+            for i in range(len(w) - n + 1):
+                held.setdefault(" ".join(w[i : i + n]), set()).add(k)
+        return set().union(*(v for v in held.values() if len(v) > 1))
+
+    got = {r.doc_id for r in substring_dedup.passages(docs).collect()}
+    assert len(got & sharing(51)) >= 0.99 * len(sharing(51)) and got <= sharing(15)
+
+
 def test_short_passages_are_found(spark):
     rng = random.Random(13)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 6)))
