@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,9 +86,12 @@ def windows(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> tuple[np
 
 def _digests(docs: DataFrame, hot: np.ndarray, only: bool = False, low: tuple[list, np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(id, th, at, words, digest) of each window of (id, th, t), in four numbers besides the digest: at is its first byte and its length (12 bits), words how many words start before it and how
-    many more end in it. Digests in hot (sorted) are left out, or nothing but them is given, with low_id, low_th and low_at if low has these for each.
+    many more end in it. Digests in hot (sorted) are left out, or nothing but them is given.
+
+    low: key, hash of the text and place of the first occurrence of each of hot. With it, (id, th, lo, hi, before, after, from, kept): windows of hot that follow each other in a text, and are all
+    first occurrences or all aren't, are one row, as they will be in the end.
     """
-    names = ["id", "th", "at", "words", "digest"] + (["low_id", "low_th", "low_at"] if low else [])
+    names = ["id", "th", "lo", "hi", "before", "after", "from", "kept"] if low else ["id", "th", "at", "words", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,25 +100,35 @@ def _digests(docs: DataFrame, hot: np.ndarray, only: bool = False, low: tuple[li
                 off = offsets[a : b + 1] - offsets[a]
                 own = data[offsets[a] : offsets[b]]
                 row, first, h, (_, start, end, _) = windows(own, off)
-                more = []
+                k = np.zeros(len(h), np.int64)
                 if len(hot):
                     k = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                     take = (hot[k] == h) == only
                     row, first, h, k = row[take], first[take], h[take], k[take]
-                    more = [pa.array(low[0], pa.int64()).take(pa.array(k)), *(pa.array(x[k]) for x in low[1:])] if low else []
                 elif only:
                     continue
                 _, w_start, w_end = words(own, off)
                 lo, hi = start[first], end[first + GRAM - 1] if len(first) else start[:0]
                 base = np.searchsorted(w_start, off[row], "left")
                 before = np.searchsorted(w_start, lo, "left")
-                inside = np.maximum(np.searchsorted(w_end, hi, "right") - before, 0)
-                at = (lo - off[row]) << 12 | (hi - lo)
-                ids = batch.column(0).slice(a, b - a).take(pa.array(row))
-                th = batch.column(1).slice(a, b - a).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, th, pa.array(at), pa.array((before - base) << 12 | inside), pa.array(h.view(np.int64)), *more], names=names)
+                after = np.maximum(np.searchsorted(w_end, hi, "right"), before)
+                lo, hi, before, after = lo - off[row], hi - off[row], before - base, after - base
+                ids, th = (batch.column(c).slice(a, b - a).take(pa.array(row)) for c in range(2))
+                if not low:
+                    columns = [ids, th, pa.array(lo << 12 | (hi - lo)), pa.array(before << 12 | (after - before)), pa.array(h.view(np.int64))]
+                elif not len(row):
+                    continue
+                else:
+                    source = pa.array(low[0], pa.int64()).take(pa.array(k))
+                    same = pc.or_kleene(pc.equal(ids, source), pc.and_(pc.is_null(ids), pc.is_null(source))).fill_null(False).to_numpy(zero_copy_only=False)
+                    kept = same & (th.to_numpy() == low[1][k]) & ((lo << 12 | (hi - lo)) == low[2][k])
+                    at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1) | (kept[1:] != kept[:-1])))
+                    last = np.append(at[1:], len(row)) - 1
+                    one = pa.array(at)
+                    columns = [ids.take(one), th.take(one), *(pa.array(x) for x in (lo[at], hi[last], before[at], after[last])), source.take(one), pa.array(kept[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("id", "th", "t").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return docs.select("id", "th", "t").mapInArrow(run, ", ".join(f"{x} {'boolean' if x == 'kept' else 'long'}" for x in names))
 
 
 def _hot(rows: DataFrame, one_in: int, least: int, most: int = 10_000) -> np.ndarray:
@@ -140,17 +154,18 @@ def passages(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words
     group = Window.partitionBy("digest")
     repeated = (F.col("n") > 1) if within else ~(F.col("low.id").eqNullSafe(F.col("high.id")) & (F.col("low.th") == F.col("high.th")))
     ends = {"low": F.min(place), "high": F.max(place), "n": F.count("*")}
-    found = _digests(rows, hot).withColumns({k: f.over(group) for k, f in ends.items()}).where(repeated).select("id", "th", "at", "words", "low")
+    found = _digests(rows, hot).withColumns({k: f.over(group) for k, f in ends.items()}).where(repeated)
+    lo, before = F.shiftright("at", 12), F.shiftright("words", 12)
+    window = {"lo": lo, "hi": lo + F.col("at").bitwiseAND(4095), "before": before, "after": before + F.col("words").bitwiseAND(4095), "from": F.col("low.id"), "kept": place.eqNullSafe(F.col("low"))}
+    found = found.select("id", "th", *(c.alias(k) for k, c in window.items()))
     if len(hot):
         held = _digests(rows, hot, only=True).groupBy("digest").agg(*(f.alias(k) for k, f in ends.items()))
         low = {r.digest: r.low for r in held.where(repeated).collect()}  # as many rows as hot has
         hot = hot[np.isin(hot.view(np.int64), np.array(list(low), np.int64))]
         firsts = [low[d] for d in hot.view(np.int64).tolist()]
         known = [x[0] for x in firsts], np.array([x[1] for x in firsts]), np.array([x[2] for x in firsts])
-        again = _digests(rows, hot, only=True, low=known)  # of no rows if all hot digests are of single documents
-        found = found.unionByName(again.select("id", "th", "at", "words", F.struct(F.col("low_id").alias("id"), F.col("low_th").alias("th"), F.col("low_at").alias("at")).alias("low")))
-    first = place.eqNullSafe(F.col("low"))
-    marked = found.groupBy("id", "th").agg(F.collect_list(F.struct("at", "words", F.col("low.id").alias("from"), first.alias("kept"))).alias("hits"))
+        found = found.unionByName(_digests(rows, hot, only=True, low=known))  # of no rows if all hot digests are of single documents
+    marked = found.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "before", "after", "from", "kept")).alias("hits"))
     names = ["id", "start", "end", "n_words", "first_doc_id", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +175,11 @@ def passages(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words
             if not len(flat):
                 continue
             doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            at, inside, is_first = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
-            source = flat.field(2)
+            lo, hi, before, after, is_first = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5))
+            source = flat.field(4)
             rank = np.argsort(np.argsort(source.fill_null(np.iinfo(np.int64).min).to_numpy(), kind="stable"), kind="stable")
-            order = np.lexsort((rank, is_first, at, doc))
-            doc, at, inside, is_first, source = doc[order], at[order], inside[order], is_first[order], source.take(pa.array(order))
-            lo, hi = at >> 12, (at >> 12) + (at & 4095)
-            before, after = inside >> 12, (inside >> 12) + (inside & 4095)
+            order = np.lexsort((rank, is_first, lo, doc))
+            doc, lo, hi, before, after, is_first, source = *(x[order] for x in (doc, lo, hi, before, after, is_first)), source.take(pa.array(order))
             # a run goes on while windows of one kind (first or not) touch; what ended furthest before decides, in each document anew
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (is_first[1:] != is_first[:-1]) | (lo[1:] > hi[:-1])
