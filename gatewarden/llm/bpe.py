@@ -14,13 +14,15 @@ import hashlib
 import json
 import re
 from array import array
+from collections import ChainMap
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import table, tidied
 
 _READY: dict[str, Codec] = {}
 NEVER = 1 << 60
@@ -102,7 +104,7 @@ def _plain_rule(spec: dict):
 class Codec:
     """A BPE with a word-end suffix, from a file of the tokenizers library (path is a parameter; the file is never copied)."""
 
-    def __init__(self, path: str, keep: int = 1 << 19):
+    def __init__(self, path: str, keep: int = 1 << 18):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -265,7 +267,7 @@ class Codec:
         """Number of ids, ids as little-endian 32-bit numbers and decoded text of whole texts.
 
         No step of the tokenizer looks across an ASCII blank, so a piece of a plain word, and a whole word with odd characters, is encoded once and kept. The
-        table of what is kept is emptied when it is full; pieces of over 64 characters aren't kept.
+        table of what is kept loses what was learned first, and isn't in use, when it is full; pieces of over 64 characters aren't kept.
         """
         rows: list[list[str]] = []
         for text in texts:
@@ -279,8 +281,9 @@ class Codec:
         wanted = set().union(*rows)
         fresh = wanted - self.known.keys()
         if len(self.known) + len(fresh) > self.keep:
-            self.known.clear()
-            fresh = wanted
+            stay = self.known.keys() & wanted
+            late = islice(self.known.items(), max(0, len(self.known) - self.keep // 2), None)  # what was learned last
+            self.known = {w: e for w, e in late} | {w: self.known[w] for w in stay}
         found = {}
         plain, odd = [], []
         for key in fresh:
@@ -294,9 +297,9 @@ class Codec:
             found |= self.entries(some, ids, n)
         for at in range(0, len(odd), 20_000):
             found |= self.learn(odd[at : at + 20_000])
-        long = any(len(w) > 64 for w in found)
-        known = self.known | found if long else self.known
-        self.known |= {w: e for w, e in found.items() if len(w) <= 64} if long else found
+        long = {w: found.pop(w) for w in [w for w in found if len(w) > 64]}
+        self.known |= found
+        known = ChainMap(self.known, long) if long else self.known
         out = []
         for row in rows:
             if not row:
@@ -356,7 +359,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
                     out["decoded"] = pa.array([r[2] for r in rows], pa.string())
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(tidied(run), schema)
 
 
 def default_path() -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
+from .common import slices, table, tidied, utf8
 from .toxicity import fetched, fold, labelled, share
 
 WIDTH, FILTERS, CHUNK, STRIDE = 5, 12, 512, 448
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
     held = F.coalesce(fold(F.col(key), parts) == out, F.lit(False)).alias("held_out")
-    return docs.select(key, held, text).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return docs.select(key, held, text).mapInArrow(tidied(run), f"`{key}` {kind}, held_out boolean, score double, predicted int")
 
 
 def filter_rows(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -170,7 +170,7 @@ def filter_rows(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str
             data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
             yield batch.filter(pa.array(predict(model, data, offsets) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, mix, shingles, slices, table, utf8, written
+from .common import components, cut, discard, mix, shingles, slices, table, tidied, utf8, written
 
 BANDS, ROWS = 27, 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -133,7 +133,7 @@ def _signed(docs: DataFrame, text: str, k: int) -> DataFrame:
                 columns = [np.repeat(h1[a:b][some], BANDS), np.repeat(h2[a:b][some], BANDS), key.ravel().view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "bucket"])
 
-    return docs.select("h1", "h2", text).mapInArrow(run, "h1 long, h2 long, bucket long")
+    return docs.select("h1", "h2", text).mapInArrow(tidied(run), "h1 long, h2 long, bucket long")
 
 
 def forest(row: np.ndarray, h: np.ndarray, count: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -230,7 +230,7 @@ def settle(rows: DataFrame, k: int, threshold: float) -> DataFrame:
                 a, done = end, size[end - 1]
 
     rows = rows.select("unit", "rep", "comp", "left", "right", "text")
-    return rows.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(tidied(run), "a binary, b binary")
 
 
 def _of_units(links: DataFrame | None, rows: DataFrame) -> DataFrame:

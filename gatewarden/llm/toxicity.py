@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import mix, table, tidied
 from .linear import word_features
 
 
@@ -108,7 +108,7 @@ def features(docs: DataFrame, text: str, bits: int) -> DataFrame:
             at = _csr(row, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature, pa.int32()))], names=["confirmed", "f"])
 
-    return docs.select("confirmed", text).mapInArrow(run, "confirmed boolean, f array<int>")
+    return docs.select("confirmed", text).mapInArrow(tidied(run), "confirmed boolean, f array<int>")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, parts: int, out: int) -> DataFrame:
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
     held = F.coalesce(fold(F.col(key), parts) == out, F.lit(False)).alias("held_out")
-    return docs.select(key, held, text).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return docs.select(key, held, text).mapInArrow(tidied(run), f"`{key}` {kind}, held_out boolean, score double, predicted int")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
