@@ -12,9 +12,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import columns as c
-from ..functions.engine import Engine
+from ..functions.engine import Engine, present_secrets, scrub, secrets
 from ..policy import Policy
 
 SECRET = "array<struct<category:string,matched:string,fingerprint:string,start:int,end:int>>"
@@ -70,7 +71,7 @@ def analysis(text: Column, policy: Policy) -> Column:
         engine = _engine(policy)
         return _records([None if t is None else engine.analyse(t) for t in s])
 
-    return run(text)
+    return run.asNondeterministic()(text)  # so that no filter above computes it once more
 
 
 def _message_analysis(text: Column, messages: Column, policy: Policy) -> Column:
@@ -79,7 +80,7 @@ def _message_analysis(text: Column, messages: Column, policy: Policy) -> Column:
         engine = _engine(policy)
         return _records([None if t is None else engine.analyse(t, [(x["role"], x["text"] or "") for x in ms]) for t, ms in zip(s, m)])
 
-    return run(text, messages)
+    return run.asNondeterministic()(text, messages)
 
 
 def provider_analysis(text: Column, context: Column, provider: Callable) -> Column:
@@ -193,15 +194,16 @@ def check_columns(df: DataFrame, names: list[str], policy: Policy | None = None)
 
 
 def transcripts(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: messages in order of turn, and their texts joined by newlines."""
-    message = F.struct(F.col(turn).alias("turn"), F.lower(F.col(role).cast("string")).alias("role"), c.text_of(F.col(text)).alias("text"))
+    """One row per conversation: messages in order of turn, and their texts joined by newlines. text: a string, or an array of content blocks."""
+    content = block_text(F.col(text)) if isinstance(df.schema[text].dataType, ArrayType) else c.text_of(F.col(text))
+    message = F.struct(F.col(turn).alias("turn"), F.lower(F.col(role).cast("string")).alias("role"), content.alias("text"))
     grouped = df.groupBy(conversation).agg(F.array_sort(F.collect_list(message)).alias("messages"))
     return grouped.withColumn("joined", F.array_join(F.transform("messages", lambda m: m["text"]), "\n"))
 
 
 def block_text(content: Column) -> Column:
     """Text of content blocks (array of structs with text), joined by blanks; null blocks are left out."""
-    return F.array_join(F.transform(F.filter(content, lambda b: b.isNotNull()), lambda b: F.coalesce(b["text"], F.lit(""))), " ")
+    return F.coalesce(F.array_join(F.transform(F.filter(content, lambda b: b.isNotNull()), lambda b: F.coalesce(b["text"], F.lit(""))), " "), F.lit(""))
 
 
 def check_messages(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", policy: Policy | None = None, provider: Callable | None = None) -> DataFrame:
@@ -244,9 +246,46 @@ def scrub_messages(df: DataFrame, conversation: str = "conv_id", text: str = "te
     """df with text scrubbed of personal data, and whether its conversation held any."""
     from pyspark.sql import Window as W
 
-    out = df.withColumn("__s", c.scrub(F.col(text)))
-    out = out.withColumn("detected", F.bool_or(F.coalesce(F.col("__s") != F.col(text), F.lit(False))).over(W.partitionBy(conversation)))
-    return out.withColumn(text, F.col("__s")).drop("__s")
+    if isinstance(df.schema[text].dataType, ArrayType):  # content blocks keep their other fields
+        texts = F.transform(text, lambda b: b["text"])
+
+        @F.pandas_udf("array<string>")
+        def each(blocks: pd.Series) -> pd.Series:  # one kind needs Python, and a lambda function may hold none
+            return blocks.map(lambda ts: None if ts is None else [None if t is None else scrub(t) for t in ts])
+
+        df = df.withColumn("__n", each(texts))
+        out = df.withColumn("__s", F.zip_with(text, "__n", lambda b, t: F.when(b.isNotNull(), b.withField("text", t))))
+        changed = ~F.col("__n").eqNullSafe(texts)
+        out = out.withColumn("__c", changed).drop("__n")
+        changed = F.col("__c")
+    else:
+        out = df.withColumn("__s", c.scrub(F.col(text)))
+        changed = F.col("__s") != F.col(text)
+    out = out.withColumn("detected", F.bool_or(F.coalesce(changed, F.lit(False))).over(W.partitionBy(conversation)))
+    return out.withColumn(text, F.col("__s")).drop("__s", "__c")
+
+
+def scan_secrets(df: DataFrame, text: str = "text", policy: Policy | None = None) -> DataFrame:
+    """df with secrets: the findings of whole texts of any length; a null text has none."""
+    policy = policy or Policy()
+
+    @F.pandas_udf(SECRET)
+    def run(s: pd.Series) -> pd.Series:
+        engine = _engine(policy)
+        return s.map(lambda t: [] if t is None else present_secrets(t, secrets(t, engine.custom)))
+
+    return df.withColumn("secrets", run(F.col(text)))
+
+
+def scan_rules(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """df with policy_findings: what the policy's rules find in whole texts of any length; a null text has none."""
+
+    @F.pandas_udf(RULE)
+    def run(s: pd.Series) -> pd.Series:
+        engine = _engine(policy)
+        return s.map(lambda t: [] if t is None else engine.present(t, engine.findings(t)))
+
+    return df.withColumn("policy_findings", run(F.col(text)))
 
 
 def violation_labels() -> Column:

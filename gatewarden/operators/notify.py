@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Mapping
 
@@ -69,6 +70,15 @@ def events(decisions: DataFrame, policy: Policy | None = None, text: str | None
     return decisions.where("risk_score > 0").select(*keep, event.alias("event"))
 
 
+def queue_handler(put: Callable[[str], object]) -> Callable[[dict], None]:
+    """A handler that puts each event, as JSON, into a queue for a worker elsewhere: put is a queue's method for that. What put raises counts as this handler's failure."""
+
+    def handle(event: dict) -> None:
+        put(json.dumps(event, ensure_ascii=False, sort_keys=True, default=str))
+
+    return handle
+
+
 class Notifier:
     """Handlers by name; each gets each event as a dictionary, in order."""
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions import grammar as g
+from ..functions.engine import INVISIBLE, LOOKALIKES
 from ..operators import decision as d
 from ..operators.notify import events
 from ..policy import Policy
@@ -119,8 +120,8 @@ documents("pii_token_redact", lambda TEXT: F.md5(c.replace_kind(TEXT, "TOKEN")),
 for _kind in ("SSN", "IP", "SIN", "CARD", "IBAN"):
     documents(f"pii_{_kind.lower()}_redact", lambda TEXT, kind=_kind: F.md5(c.replace_kind(TEXT, kind)), f"md5({replace_sql(_kind)})")
 documents("pii_phone_detect", lambda TEXT: c.matches(TEXT, g.PII[-1][1], False), hit(f"(?:^|[^0-9]){PHONE_SQL}(?:[^0-9]|$)", False))
-documents("pii_passport_detect", lambda TEXT: c.matches(F.concat(TEXT, F.lit(" passport no: AB1234567")), dict((k, s) for k, s, _ in g.PII)["PASSPORT"]), "true")
-documents("pii_birth_redact", lambda TEXT: c.replace_kind(F.concat(F.lit("x DOB: "), F.lpad((F.col("doc_id") % 31 + 1).cast("string"), 2, "0"), F.lit("/02/2021 y")), "DOB"), "CASE WHEN doc_id % 31 + 1 <= 28 OR doc_id % 31 + 1 = 2 THEN 'x [DOB] y' ELSE concat('x DOB: ', lpad((doc_id % 31 + 1)::VARCHAR, 2, '0'), '/02/2021 y') END")
+documents("pii_passport_detect", lambda TEXT: c.matches(F.concat(TEXT, F.when(F.col("doc_id") % 3 == 0, " passport no: AB1234567").otherwise(" passport AB12")), dict((k, s) for k, s, _ in g.PII)["PASSPORT"]), f"doc_id % 3 = 0 OR {hit(dict((k, s) for k, s, _ in g.PII)['PASSPORT'])}")
+documents("pii_birth_redact", lambda TEXT: F.md5(c.replace_kind(F.concat(TEXT, F.lit(" x DOB: "), F.lpad((F.col("doc_id") % 31 + 1).cast("string"), 2, "0"), F.lit("/02/2021 y")), "DOB")), "md5(concat(text, CASE WHEN doc_id % 31 + 1 <= 28 OR doc_id % 31 + 1 = 2 THEN ' x [DOB] y' ELSE concat(' x DOB: ', lpad((doc_id % 31 + 1)::VARCHAR, 2, '0'), '/02/2021 y') END))")
 documents("length_guard", lambda TEXT: F.length(TEXT) <= 10_000, "length(text) <= 10000")
 documents("injection_structural", lambda TEXT: c.any_of(TEXT, g.STRUCTURAL), " OR ".join(hit(p) for p in g.STRUCTURAL))
 documents("injection_phrases", lambda TEXT: c.any_of(TEXT, g.PHRASES), " OR ".join(hit(p) for p in g.PHRASES))
@@ -136,7 +137,7 @@ _HIDDEN = {
 for _name, _payload in _HIDDEN.items():
     _rest = (lambda TEXT: F.lit("")) if _name == "url" else (lambda TEXT: F.concat(F.lit(" "), TEXT))
     documents(f"injection_{_name}", lambda TEXT, payload=_payload, rest=_rest: c.is_injection(F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit(f"note: {payload} ok")).otherwise("a plain note"), rest(TEXT))), "doc_id % 3 = 0", read=given)
-documents("normalised_homoglyph", lambda TEXT: c.fold_lookalikes(c.strip_invisible(F.concat(F.lit("Аgеnt​ "), F.col("doc_id").cast("string")))), "concat('Agent ', doc_id)")
+documents("normalised_homoglyph", lambda TEXT: F.md5(c.fold_lookalikes(c.strip_invisible(F.concat(F.lit("Аgеnt​ "), TEXT)))), f"md5(concat('Agent ', translate(translate(text, {quoted(INVISIBLE)}, ''), {quoted(LOOKALIKES[0])}, {quoted(LOOKALIKES[1])})))")
 documents("secret_markers", lambda TEXT: c.has_marker(TEXT), hit("|".join(g.MARKERS)))
 documents("secret_internal_endpoint", lambda TEXT: c.matches(TEXT, g.SUFFIX), hit(g.SUFFIX))
 documents("secret_private_network", lambda TEXT: c.matches(TEXT, g.PRIVATE), hit(g.PRIVATE))
@@ -147,14 +148,33 @@ documents("policy_whole_word", lambda TEXT: c.matches(TEXT, Policy(rules=RULES).
 documents("policy_regexp", lambda TEXT: c.matches(F.concat(F.lit("PF-"), F.col("doc_id").cast("string"), F.lit(" "), TEXT), "PF-[0-9]{3}"), "doc_id >= 100", read=given)
 
 
-@query("pii_scrub_all")
+def scrub_sql(source: str) -> str:
+    """CTEs s0 to s9 on top of the table source: one kind after the other is replaced in text, as scrub() does; those that validate dates and IPv6 addresses have no SQL here."""
+    kinds, out, last = dict((k, (s, i)) for k, s, i in g.PII), "", source
+    for k, kind in enumerate(k for k in kinds if k not in ("DOB", "IP6")):
+        p, ignore = kinds[kind]
+        flags = quoted("gi" if ignore else "g")
+        if kind in ("SSN", "SIN", "CARD", "IP", "IBAN"):
+            made = replace_sql(kind)
+        elif kind == "PHONE":  # no look-behind: what stands beside is given back, and done twice for neighbours
+            once = lambda x: f"regexp_replace({x}, {re2('(^|[^0-9])' + PHONE_SQL + '([^0-9]|$)')}, '\\1[PHONE]\\2', 'g')"
+            made = once(once("text"))
+        else:
+            made = f"regexp_replace(text, {re2(p)}, '[{kind}]', {flags})"
+        out += f"{', ' if out else ''}s{k} AS (SELECT * REPLACE ({made} AS text) FROM {last})"
+        last = f"s{k}"
+    return out
+
+
+@query("pii_scrub_all", T + ", " + scrub_sql("t") + " SELECT doc_id, md5(text) AS text FROM s8")
 def pii_scrub_all(spark, sf):
-    return planted(spark, sf).select("doc_id", c.scrub(F.col("text")).alias("text"))
+    return planted(spark, sf).select("doc_id", F.md5(c.scrub(F.col("text"))).alias("text"))
 
 
-@query("pii_ipv6_redact", T + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'at [IP] now' ELSE 'at 12:30:45 now' END AS result FROM t")
+@query("pii_ipv6_redact", T + "SELECT doc_id, md5(concat(text, CASE WHEN doc_id % 2 = 0 THEN ' at [IP] now' ELSE ' at 12:30:45 now' END)) AS result FROM t")
 def pii_ipv6(spark, sf):
-    return planted(spark, sf).select("doc_id", c.replace_kind(F.when(F.col("doc_id") % 2 == 0, "at 2001:db8::1 now").otherwise("at 12:30:45 now"), "IP6").alias("result"))
+    made = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " at 2001:db8::1 now").otherwise(" at 12:30:45 now"))
+    return planted(spark, sf).select("doc_id", F.md5(c.replace_kind(made, "IP6")).alias("result"))
 
 
 @query("injection_pattern_hits", T + ", p AS (SELECT unnest(range(0, {n})) AS pattern, unnest([{p}]) AS source) SELECT pattern, count(*) AS n FROM t, p WHERE regexp_matches(text, p.source, 'i') GROUP BY pattern".format(n=len(g.INJECTION), p=", ".join(map(re2, g.INJECTION))))
@@ -188,30 +208,45 @@ def conversation_source(spark, sf):
     return whole.select("conv_id", F.md5("joined").alias("digest"), F.size("messages").cast("long").alias("n"))
 
 
-@query("check_messages")
-def check_messages(spark, sf):
-    return d.check_messages(conversations(spark, sf)).select("conv_id", "allowed", "pii_detected", "injection_attempt", "secret_leaked", "risk_score")
-
-
-@query("scrub_messages")
-def scrub_messages(spark, sf):
-    return d.scrub_messages(spark.read.parquet(f"{sf}/conversations.parquet")).select("conv_id", "turn", "text", "detected")
-
-
 PII_SQL = " OR ".join([hit(p, i) for k, p, i in g.PII if k in ("EMAIL", "TOKEN", "PASSPORT")] + [f"{count_sql(k)} > 0" for k in ("SSN", "SIN", "CARD", "IP", "IBAN")] + [hit(f"(?:^|[^0-9]){PHONE_SQL}(?:[^0-9]|$)", False)])
 INJECTION_SQL = " OR ".join(hit(p, text="text[1:20000]") for p in g.INJECTION)
 SECRET_SQL = " OR ".join([hit("|".join(g.MARKERS)), hit(g.SUFFIX)] + [hit(p.replace(r"[\s\S]*?", "(?s:.)*?"), i) for _, p, i in g.CREDENTIALS])
-DECIDED = T + f""", f AS (
-  SELECT *, length(text) <= 10000 AS ok FROM t
+def decided_sql(source: str, injected: str) -> str:
+    """CTEs f, h, s and v on top of the table source, whose texts are decided on; injected: whether one has an injection."""
+    return f"""f AS (
+  SELECT *, length(text) <= 10000 AS ok FROM {source}
 ), h AS (
-  SELECT *, ok AND ({PII_SQL}) AS pii_detected, ok AND ({INJECTION_SQL}) AS injection_attempt, ok AND ({SECRET_SQL}) AS secret_leaked FROM f
+  SELECT *, ok AND ({PII_SQL}) AS pii_detected, ok AND ({injected}) AS injection_attempt, ok AND ({SECRET_SQL}) AS secret_leaked FROM f
 ), s AS (
   SELECT *, ok AND NOT injection_attempt AS allowed,
          round(least(1.0::DOUBLE, CASE WHEN injection_attempt THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN secret_leaked THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN pii_detected THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN NOT ok OR injection_attempt THEN 0.15::DOUBLE ELSE 0 END), 4) AS risk_score
   FROM h
 ), v AS (
   SELECT *, list_filter([CASE WHEN injection_attempt THEN 'injection_attempt' END, CASE WHEN secret_leaked THEN 'secret_leaked' END, CASE WHEN pii_detected THEN 'pii_detected' END, CASE WHEN NOT ok THEN 'input_length_exceeded' END], lambda x: x IS NOT NULL) AS violations FROM s
-) """
+)"""
+
+
+DECIDED = T + ", " + decided_sql("t", INJECTION_SQL) + " "
+TURNS_SQL = " OR ".join("(" + hit(a) + " AND " + hit(b, text="t2") + ")" for a, b in g.TURNS)
+MESSAGES = f"""WITH m AS (
+  SELECT conv_id, turn, role, {TURN_TEXT} AS text FROM conversations
+), n AS (
+  SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), j AS (
+  SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text,
+         bool_or(coalesce({INJECTION_SQL}, false) OR coalesce(lower(role) = 'user' AND lower(r2) = 'assistant' AND ({TURNS_SQL}), false)) AS injected
+  FROM n GROUP BY conv_id
+), """ + decided_sql("j", "injected")
+
+
+@query("check_messages", MESSAGES + " SELECT conv_id, allowed, pii_detected, injection_attempt, secret_leaked, risk_score FROM v")
+def check_messages(spark, sf):
+    return d.check_messages(conversations(spark, sf)).select("conv_id", "allowed", "pii_detected", "injection_attempt", "secret_leaked", "risk_score")
+
+
+@query("scrub_messages", "WITH o AS (SELECT conv_id, turn, text AS was, text FROM conversations), " + scrub_sql("o") + " SELECT conv_id, turn, text, bool_or(coalesce(text <> was, false)) OVER (PARTITION BY conv_id) AS detected FROM s8")
+def scrub_messages(spark, sf):
+    return d.scrub_messages(spark.read.parquet(f"{sf}/conversations.parquet")).select("conv_id", "turn", "text", "detected")
 
 
 def decided(spark, sf, policy: Policy | None = None, **more) -> DataFrame:
@@ -289,16 +324,18 @@ def policy_rule_join(spark, sf):
     return planted(spark, sf).join(F.broadcast(rules), F.expr("text rlike concat('(?iu)', rule_source)")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("secret_findings", T + f"SELECT doc_id, strpos(text, 'ghp_abcdefghijklmnopqrstuvwx') - 1 AS start, strpos(text, 'ghp_abcdefghijklmnopqrstuvwx') + 27 AS stop FROM t WHERE doc_id % {len(PAYLOADS)} = 4 AND length(text) <= 10000")
+@query("secret_findings", T + f"SELECT doc_id, strpos(text, 'ghp_abcdefghijklmnopqrstuvwx') - 1 AS start, strpos(text, 'ghp_abcdefghijklmnopqrstuvwx') + 27 AS stop FROM t WHERE doc_id % {len(PAYLOADS)} = 4")
 def secret_findings(spark, sf):
-    @F.pandas_udf(d.SECRET)
-    def found(s):
-        from ..functions.engine import present_secrets, secrets
+    """Where whole texts of any length hold tokens."""
+    found = d.scan_secrets(planted(spark, sf)).select("doc_id", F.explode("secrets").alias("f"))
+    return found.where("f.category = 'secret_token'").select("doc_id", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("stop"))
 
-        return s.map(lambda t: None if t is None else present_secrets(t, secrets(t)))
 
-    short = planted(spark, sf).where("length(text) <= 10000").select("doc_id", F.explode(found("text")).alias("f"))
-    return short.where("f.category = 'secret_token'").select("doc_id", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("stop"))
+@query("rule_scan", T + f"SELECT doc_id, count(*) FILTER ({hit('Project Falcon')}) AS n FROM t GROUP BY doc_id")
+def rule_scan(spark, sf):
+    """Findings of a rule in whole texts of any length."""
+    found = d.scan_rules(planted(spark, sf), Policy(rules=RULES))
+    return found.select("doc_id", F.size(F.filter("policy_findings", lambda f: f["rule"] == "project")).cast("long").alias("n"))
 
 
 @query("redact_combined")
@@ -307,16 +344,17 @@ def redact_combined(spark, sf):
     return out.select("doc_id", "redaction.text", "redaction.redacted", "redaction.pii_detected", "redaction.secret_leaked", "redaction.policy_violated")
 
 
-@query("secret_custom_patterns", "SELECT doc_id, doc_id % 2 = 0 AS leaked FROM documents")
+@query("secret_custom_patterns", DECIDED + "SELECT doc_id, length(text) <= 9980 AND (secret_leaked OR doc_id % 2 = 0) AS leaked FROM v")
 def custom(spark, sf):
-    short = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "use credential-alpha123").otherwise("use nothing").alias("text"))
-    return d.check(short, policy=Policy(secret_patterns=("credential-[a-z0-9]+",))).select("doc_id", F.col("secret_leaked").alias("leaked"))
+    """Whole texts with a payload of twenty characters, so that those of up to 9 980 characters are short enough."""
+    made = planted(spark, sf).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 2 == 0, " credential-alphabet").otherwise(" credentials are not")))
+    return d.check(made, policy=Policy(secret_patterns=("credential-[a-z0-9]+",))).select("doc_id", F.col("secret_leaked").alias("leaked"))
 
 
-@query("span_merge", "WITH s AS (SELECT l_orderkey AS k, l_linenumber * 3 AS a, l_linenumber * 3 + l_quantity::BIGINT % 5 AS b FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), i AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT k, island::BIGINT AS island, min(a)::BIGINT AS start, max(b)::BIGINT AS stop FROM i GROUP BY k, island")
+@query("span_merge", "WITH s AS (SELECT DISTINCT l_orderkey AS k, l_linenumber * 3 AS a, l_linenumber * 3 + l_quantity::BIGINT % 5 AS b FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), i AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT k, island::BIGINT AS island, min(a)::BIGINT AS start, max(b)::BIGINT AS stop FROM i GROUP BY k, island")
 def span_merge(spark, sf):
-    """Spans of a key that overlap or touch, as one: a running maximum of ends, then a running count of breaks."""
-    s = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 3).cast("long").alias("a"), (F.col("l_linenumber") * 3 + F.col("l_quantity").cast("long") % 5).cast("long").alias("b"))
+    """Spans of a key that overlap or touch, as one: a running maximum of ends, then a running count of breaks. Equal spans count once, so the order has no ties."""
+    s = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 3).cast("long").alias("a"), (F.col("l_linenumber") * 3 + F.col("l_quantity").cast("long") % 5).cast("long").alias("b")).distinct()
     w = W.partitionBy("k").orderBy("a", "b")
     s = s.withColumn("before", F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1)))
     s = s.withColumn("island", F.sum(F.when(F.col("before").isNull() | (F.col("a") > F.col("before")), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -373,11 +411,11 @@ def event_metadata(spark, sf):
     return made.select("doc_id", F.explode("event.metadata").alias("key", "value"))
 
 
-@query("url_decode", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a b c' ELSE '100% a+b' END AS result FROM documents")
+@query("url_decode", "WITH t AS (SELECT doc_id, concat(CASE WHEN doc_id % 2 = 0 THEN 'a%20b+c ' ELSE '100% a+b ' END, coalesce(text, '')) AS x FROM documents) SELECT doc_id, md5(CASE WHEN regexp_matches(x, '%(?:$|[^0-9A-Fa-f]|[0-9A-Fa-f](?:$|[^0-9A-Fa-f]))') THEN x ELSE url_decode(replace(x, '+', ' ')) END) AS result FROM t")
 def url_decode(spark, sf):
-    """One layer; a text with a malformed escape stays as it is."""
-    given = F.when(F.col("doc_id") % 2 == 0, "a%20b+c").otherwise("100% a+b")
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", c.url_decode(given).alias("result"))
+    """One layer of whole texts; a text with a malformed escape anywhere stays as it is."""
+    made = F.concat(F.when(F.col("doc_id") % 2 == 0, "a%20b+c ").otherwise("100% a+b "), F.col("text"))
+    return given(spark, sf).select("doc_id", F.md5(c.url_decode(made)).alias("result"))
 
 
 @query("findings_table", T + f"SELECT doc_id, strpos(text, 'ghp_abcdefghijklmnopqrstuvwx') - 1 AS start, strpos(text, 'ghp_abcdefghijklmnopqrstuvwx') + 27 AS stop FROM t WHERE doc_id % {len(PAYLOADS)} = 4")
@@ -390,7 +428,7 @@ def findings_table(spark, sf):
     return spark.sql("SELECT doc_id, CAST(f.start AS BIGINT) AS start, CAST(f.end AS BIGINT) AS stop FROM planted_documents, LATERAL guard_findings(text) f WHERE f.name = 'secret_token'")
 
 
-@query("upload_check")
+@query("upload_check", "WITH p AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages), " + decided_sql("p", INJECTION_SQL) + " SELECT page_id, allowed, pii_detected, risk_score FROM v")
 def uploads(spark, sf):
     """Decisions on pages, whose text an extractor takes out of the markup."""
     from ..session import upload_check

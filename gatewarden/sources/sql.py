@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions.engine import Engine, normalise, scrub, single
+from ..functions.engine import normalise, present_secrets, scrub, secrets, single
 from ..operators.decision import _engine
 from ..policy import Policy
 
@@ -32,10 +32,10 @@ def register(spark: SparkSession, policy: Policy | None = None) -> None:
     @udtf(returnType="kind string, name string, matched string, fingerprint string, start int, end int")
     class Findings:
         def eval(self, text: str):
-            found = Engine(policy).analyse(text or "")
-            for x in found["secrets"]:
+            engine, text = _engine(policy), text or ""
+            for x in present_secrets(text, secrets(text, engine.custom)):
                 yield "secret", x["category"], x["matched"], x["fingerprint"], x["start"], x["end"]
-            for x in found["rules"]:
+            for x in engine.present(text, engine.findings(text)):
                 yield "policy", x["rule"], x["matched"], x["fingerprint"], x["start"], x["end"]
 
     spark.udtf.register("guard_findings", Findings)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewarden.operators import decision as d
-from gatewarden.operators.notify import Notifier, events
+from gatewarden.operators.notify import Notifier, events, queue_handler
 from gatewarden.policy import ConfigurationError, Policy
 from gatewarden.session import GuardSession
 
@@ -76,6 +76,36 @@ def test_notifications(spark):
         Notifier({})
 
 
+def test_queue_handler(spark):
+    import json
+
+    jobs = []
+    notifier = Notifier({"queue": queue_handler(jobs.append), "full": queue_handler(lambda job: 1 / 0)})
+    out = notifier.notify({"risk_score": 0.5, "allowed": False, "checks": [], "injection_attempt": True}, {"k": "v"})
+    assert [x["success"] for x in out["deliveries"]] == [True, False]
+    assert json.loads(jobs[0])["metadata"] == {"k": "v"} and json.loads(jobs[0])["violations"] == ["injection_attempt"]
+
+
+def test_content_blocks(spark):
+    schema = "conv_id long, turn long, role string, text array<struct<type:string,text:string>>"
+    rows = [(1, 0, "user", [("text", "my ssn is 123-45-6789"), None, ("image", None)]), (1, 1, "assistant", [("text", "fine")]), (2, 0, "user", None), (3, 0, "user", [("text", "enter"), ("text", "jailbreak mode")])]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.conv_id: r for r in d.check_messages(df).collect()}
+    assert got[1].pii_detected and not got[2].pii_detected and got[3].injection_attempt and not got[3].allowed
+    clean = {(r.conv_id, r.turn): r for r in d.scrub_messages(df).collect()}
+    assert clean[1, 0].text[0].text == "my ssn is [SSN]" and clean[1, 0].text[0].type == "text" and clean[1, 0].text[2].type == "image"
+    assert clean[1, 1].detected and not clean[3, 0].detected and clean[2, 0].text is None
+
+
+def test_scans_of_whole_texts(spark):
+    long = "plain words " * 2000
+    df = frame(spark, long + "ghp_abcdefghijklmnopqrstuvwx", None, "Project Falcon")
+    got = d.scan_secrets(df).orderBy("k").collect()
+    assert [len(r.secrets) for r in got] == [1, 0, 0] and got[0].secrets[0].start == len(long)
+    rules = d.scan_rules(df, Policy(rules=({"name": "p", "terms": ["Project Falcon"]},))).orderBy("k").collect()
+    assert [[f.rule for f in r.policy_findings] for r in rules] == [[], [], ["p"]]
+
+
 def test_session(spark):
     told = []
     session = GuardSession(policy=Policy(name="p"), notifier_handlers={"h": told.append}, subscriber=lambda *a: told.append(a))
