@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table, tidied
+from .common import held, table, tidied
 
-_READY: dict[str, Codec] = {}
+_READY: dict[str, Codec] = held("codecs", {})
 NEVER = 1 << 60
 #: Letters beyond ASCII, and marks, that no normal form changes, that have one small form, and that are no blanks.
 LETTERS, MARKS = "À-ÖØ-öø-ÿ", "¡¿«»–—‘’“”„…"
@@ -157,7 +157,7 @@ class Codec:
         at = np.array([o[0] for _, o in found], np.int64)
         return [p for p, _ in found], np.searchsorted(start, at, "right") - 1
 
-    def learn(self, keys: list[str]) -> dict[str, tuple[bytes, str]]:
+    def learn(self, keys: list[str]) -> dict[str, bytes]:
         """entries() of words; each key is a newline and a word."""
         pieces, owner = self.pieces([k[1:] for k in keys])
         ids, n = self.merge_all(pieces)
@@ -288,7 +288,7 @@ class Codec:
         plain, odd = [], []
         for key in fresh:
             if key[0] == "\t":
-                found[key] = (array("I", [self.added[key[1:]]]).tobytes(), key[1:])
+                found[key] = array("I", [self.added[key[1:]]]).tobytes()
             else:
                 (odd if key[0] == "\n" else plain).append(key)
         for at in range(0, len(plain), 50_000):
@@ -305,19 +305,15 @@ class Codec:
             if not row:
                 out.append((0, b"", ""))
                 continue
-            ids, names = zip(*[known[w] for w in row], strict=True)
-            raw = b"".join(ids)
-            if "" in names:  # a word of odd blanks
-                names = [x for x in names if x]
-            out.append((len(raw) // 4, raw, " ".join(names)))
+            raw = b"".join([known[w] for w in row])
+            out.append((len(raw) // 4, raw, " ".join(map(self.token.__getitem__, np.frombuffer(raw, "<u4").tolist()))))
         return out
 
-    def entries(self, keys: list[str], ids: np.ndarray, count: np.ndarray) -> dict[str, tuple[bytes, str]]:
-        """For each key the ids as little-endian 32-bit numbers, and the decoded text; ids: those of all keys in a row."""
+    def entries(self, keys: list[str], ids: np.ndarray, count: np.ndarray) -> dict[str, bytes]:
+        """For each key the ids as little-endian 32-bit numbers; ids: those of all keys in a row."""
         end = np.cumsum(count).tolist()
-        raw, names = ids.astype("<u4").tobytes(), list(map(self.token.__getitem__, ids.tolist()))
-        start = [0, *end[:-1]]
-        return {w: (raw[4 * a : 4 * b], " ".join(names[a:b])) for w, a, b in zip(keys, start, end, strict=True)}
+        raw, start = ids.astype("<u4").tobytes(), [0, *end[:-1]]
+        return {w: raw[4 * a : 4 * b] for w, a, b in zip(keys, start, end, strict=True)}
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
@@ -359,7 +355,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
                     out["decoded"] = pa.array([r[2] for r in rows], pa.string())
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return docs.select(key, text).mapInArrow(tidied(run), schema)
+    return docs.select(key, text).mapInArrow(tidied(run, "codecs"), schema)
 
 
 def default_path() -> str:

@@ -161,14 +161,16 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "tex
 
 
 def filter_rows(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "text", least: float = 0.5) -> DataFrame:
-    """docs without rows that score under least; whole rows pass through one worker, so nothing is joined."""
+    """docs without rows that score under least; whole rows pass through one worker, so nothing is joined, and leave it in batches of some 4 MB."""
     if model is None:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
-            yield batch.filter(pa.array(predict(model, data, offsets) >= least))
+            good = predict(model, data, offsets) >= least
+            for a, b in slices(offsets, 4 << 20):
+                yield batch.slice(a, b - a).filter(pa.array(good[a:b]))
 
     return docs.mapInArrow(tidied(run), docs.schema)
 

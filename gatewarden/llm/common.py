@@ -17,6 +17,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 BETWEEN = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: What workers keep for later tasks, by name: tables that are made again where they are found empty.
+_HELD: dict[str, dict | list] = {}
+
 _FREE = np.zeros(256, bool)
 _FREE[[0x20, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -104,16 +107,40 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def tidied(run):
-    """run, for mapInArrow, that gives freed memory back to the system when a task ends: workers are kept for later tasks, and so would be what they once needed."""
+def held(name: str, kept: dict | list) -> dict | list:
+    """kept, which a worker empties before a task that doesn't name it."""
+    _HELD[name] = kept
+    return kept
+
+
+def let_go(uses: tuple[str, ...] = ()) -> None:
+    """Empties what this worker keeps under other names than these."""
+    full = [kept for name, kept in _HELD.items() if kept and name not in uses]
+    for kept in full:
+        kept.clear()
+    if full:
+        give_back()
+
+
+def give_back() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run, *uses: str):
+    """run, for mapInArrow, in a worker that holds nothing but what run uses and that gives freed memory back when a task ends.
+
+    Workers are kept for later tasks, of other operators too; so would be all they once needed, one operator's on top of another's.
+    """
 
     def all_(batches):
+        let_go(uses)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return all_
 
@@ -136,7 +163,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _KEPT = 1 << 21
-_POWERS: list[np.ndarray] = []
+_POWERS: list[np.ndarray] = held("powers", [])
 
 
 def _powers(n: int) -> list[np.ndarray]:

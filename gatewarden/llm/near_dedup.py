@@ -120,9 +120,9 @@ def _signed(docs: DataFrame, text: str, k: int) -> DataFrame:
             new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
             one = np.sort(order[new])
             h1, h2 = h1[one], h2[one]
-            data, offsets = utf8(batch.column(2).take(pa.array(one)))
-            for a, b in slices(offsets, 1 << 20, 256):
-                row, h, count = multisets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+            size = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)[one]
+            for a, b in slices(np.append(0, np.cumsum(size, dtype=np.int64)), 1 << 20, 256):
+                row, h, count = multisets(*utf8(batch.column(2).take(pa.array(one[a:b]))), k)
                 sig = bagminhash(row, h, count, b - a, BANDS * ROWS)
                 some = np.flatnonzero((sig != 0).any(axis=1))
                 key = np.zeros((len(some), BANDS), np.uint64)
@@ -133,7 +133,7 @@ def _signed(docs: DataFrame, text: str, k: int) -> DataFrame:
                 columns = [np.repeat(h1[a:b][some], BANDS), np.repeat(h2[a:b][some], BANDS), key.ravel().view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "bucket"])
 
-    return docs.select("h1", "h2", text).mapInArrow(tidied(run), "h1 long, h2 long, bucket long")
+    return docs.select("h1", "h2", text).mapInArrow(tidied(run, "powers"), "h1 long, h2 long, bucket long")
 
 
 def forest(row: np.ndarray, h: np.ndarray, count: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -230,7 +230,7 @@ def settle(rows: DataFrame, k: int, threshold: float) -> DataFrame:
                 a, done = end, size[end - 1]
 
     rows = rows.select("unit", "rep", "comp", "left", "right", "text")
-    return rows.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(tidied(run), "a binary, b binary")
+    return rows.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(tidied(run, "powers"), "a binary, b binary")
 
 
 def _of_units(links: DataFrame | None, rows: DataFrame) -> DataFrame:
