@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions import columns as c
+from ..functions.batches import row_udf
 from ..functions.engine import Engine, present_secrets, scrub, secrets
 from ..policy import Policy
 
@@ -269,12 +270,11 @@ def scan_secrets(df: DataFrame, text: str = "text", policy: Policy | None = None
     """df with secrets: the findings of whole texts of any length; a null text has none."""
     policy = policy or Policy()
 
-    @F.pandas_udf(SECRET)
-    def run(s: pd.Series) -> pd.Series:
+    def make():
         engine = _engine(policy)
-        return s.map(lambda t: [] if t is None else present_secrets(t, secrets(t, engine.custom)))
+        return lambda t: [] if t is None else present_secrets(t, secrets(t, engine.custom))
 
-    return df.withColumn("secrets", run(F.col(text)))
+    return df.withColumn("secrets", row_udf(SECRET, make).asNondeterministic()(F.col(text)))  # so that explode() doesn't have it computed once more
 
 
 def scan_rules(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:

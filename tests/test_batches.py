@@ -11,6 +11,7 @@ from pyspark.util import PythonEvalType
 from gatewarden.functions import columns as c
 from gatewarden.functions.batches import PIECE, pieces
 from gatewarden.functions.engine import WINDOW, variants
+from gatewarden.operators import decision as d
 
 TEXTS = pa.array([f"{k} Project Falcon is lаte, ghp_abcdefghijklmnopqrstuvwx " + "words of prose " * 200 for k in range(2000)])
 
@@ -32,6 +33,24 @@ def most_held(udf, *columns):
     return most, rows
 
 
+def udf_of(monkeypatch, make):
+    """The last UDF that make() makes."""
+    made = []
+    for name in ("pandas_udf", "arrow_udf"):
+        old = getattr(F, name)
+
+        def wrapped(*args, old=old):
+            got = old(*args)
+            if hasattr(got, "evalType"):
+                made.append(got)
+                return got
+            return lambda f: made.append(got(f)) or made[-1]
+
+        monkeypatch.setattr(F, name, wrapped)
+    make()
+    return made[-1]
+
+
 def test_pieces_are_small_and_whole():
     texts = pa.array(["", None, "x" * (2 * PIECE), *map(str, range(100_000))])
     got = list(pieces([texts, texts]))
@@ -53,3 +72,12 @@ def test_injections_are_looked_for_in_the_start_that_variants_see(spark):
     assert got == [True, True, False, True, False, False]
     got = df.select("k", c.detection_variants("text").alias("v")).orderBy("k").collect()
     assert [r.v for r in got] == [variants(t or "") for t in texts]
+
+
+def test_scans_for_secrets_hold_a_piece_and_run_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, TEXTS[1].as_py()), (2, None), (3, "plain")], "k int, text string")
+    most, rows = most_held(udf_of(monkeypatch, lambda: d.scan_secrets(df)), TEXTS)
+    assert rows == len(TEXTS) and most < TEXTS.nbytes / 2
+    found = d.scan_secrets(df).select("k", F.explode("secrets").alias("f"))
+    assert [(r.k, r.f.category) for r in found.collect()] == [(1, "secret_token")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
