@@ -61,27 +61,20 @@ def _engine(policy: Policy) -> Engine:
     return Engine(policy)
 
 
-def _records(values: list) -> pd.DataFrame:
-    keys = ("pii", "patterns", "secrets", "rules")
-    return pd.DataFrame({k: [None if v is None else v[k] for v in values] for k in keys})
-
-
 def analysis(text: Column, policy: Policy) -> Column:
-    @F.pandas_udf(ANALYSIS)
-    def run(s: pd.Series) -> pd.DataFrame:
+    def make():
         engine = _engine(policy)
-        return _records([None if t is None else engine.analyse(t) for t in s])
+        return lambda t: None if t is None else engine.analyse(t)
 
-    return run.asNondeterministic()(text)  # so that no filter above computes it once more
+    return row_udf(ANALYSIS, make).asNondeterministic()(text)  # so that no filter above computes it once more
 
 
 def _message_analysis(text: Column, messages: Column, policy: Policy) -> Column:
-    @F.pandas_udf(ANALYSIS)
-    def run(s: pd.Series, m: pd.Series) -> pd.DataFrame:
+    def make():
         engine = _engine(policy)
-        return _records([None if t is None else engine.analyse(t, [(x["role"], x["text"] or "") for x in ms]) for t, ms in zip(s, m)])
+        return lambda t, ms: None if t is None else engine.analyse(t, [(x["role"], x["text"] or "") for x in ms])
 
-    return run.asNondeterministic()(text, messages)
+    return row_udf(ANALYSIS, make).asNondeterministic()(text, messages)
 
 
 def provider_analysis(text: Column, context: Column, provider: Callable) -> Column:
@@ -219,13 +212,11 @@ def redact(df: DataFrame, text: str = "text", policy: Policy | None = None, on_o
     """df with redaction: text, redacted, pii_detected, secret_leaked, policy_violated, findings. Over-long texts raise an error, or give null."""
     policy = policy or Policy()
 
-    @F.pandas_udf(REDACTION)
-    def run(s: pd.Series) -> pd.DataFrame:
+    def make():
         engine = _engine(policy)
-        rows = [None if t is None else engine.redact(t) for t in s]
-        keys = ("text", "redacted", "pii_detected", "findings", "policy_findings")
-        return pd.DataFrame({k: [None if r is None else r[k] for r in rows] for k in keys})
+        return lambda x: None if x is None else engine.redact(x)
 
+    run = row_udf(REDACTION, make)
     t = c.text_of(F.col(text))
     long = F.length(t) > policy.max_input_length
     given = F.when(long, F.raise_error(F.lit("input exceeds max_input_length")).cast("string") if on_oversize == "raise" else F.lit(None).cast("string")).otherwise(t)
@@ -250,10 +241,8 @@ def scrub_messages(df: DataFrame, conversation: str = "conv_id", text: str = "te
     if isinstance(df.schema[text].dataType, ArrayType):  # content blocks keep their other fields
         texts = F.transform(text, lambda b: b["text"])
 
-        @F.pandas_udf("array<string>")
-        def each(blocks: pd.Series) -> pd.Series:  # one kind needs Python, and a lambda function may hold none
-            return blocks.map(lambda ts: None if ts is None else [None if t is None else scrub(t) for t in ts])
-
+        # one kind needs Python, and a lambda function may hold none
+        each = row_udf("array<string>", lambda: lambda ts: None if ts is None else [None if t is None else scrub(t) for t in ts])
         df = df.withColumn("__n", each(texts))
         out = df.withColumn("__s", F.zip_with(text, "__n", lambda b, t: F.when(b.isNotNull(), b.withField("text", t))))
         changed = ~F.col("__n").eqNullSafe(texts)

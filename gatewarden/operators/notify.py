@@ -6,10 +6,10 @@ import json
 import re
 from collections.abc import Callable, Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import row_udf
 from ..functions.engine import Engine
 from ..policy import NAME, Policy, require
 from .decision import _engine, violation_labels
@@ -41,12 +41,11 @@ def metadata(engine: Engine, pairs: Iterable[tuple]) -> dict[str, str]:
 
 
 def _mapper(policy: Policy, kind: str, body: Callable):
-    @F.pandas_udf(kind)
-    def run(s: pd.Series) -> pd.Series:
+    def make():
         engine = _engine(policy)
-        return s.map(lambda x: None if x is None else body(engine, x))
+        return lambda x: None if x is None else body(engine, x)
 
-    return run
+    return row_udf(kind, make)
 
 
 def events(decisions: DataFrame, policy: Policy | None = None, text: str | None = None, meta: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

