@@ -13,6 +13,7 @@ from gatewarden.functions.batches import PIECE, pieces
 from gatewarden.functions.engine import WINDOW, variants
 from gatewarden.operators import decision as d
 from gatewarden.operators import notify
+from gatewarden.plans.catalogue import QUERIES
 from gatewarden.policy import Policy
 from gatewarden.sources import sql
 
@@ -102,3 +103,10 @@ def test_decisions_hold_a_piece(spark, monkeypatch):
         assert rows == len(TEXTS) and most < sum(c.nbytes for c in columns)
     got = d.check(df, policy=policy).orderBy("k").collect()
     assert [(r.secret_leaked, r.allowed, len(r.checks[1].patterns)) for r in got] == [(True, True, 0), (False, True, 0), (False, False, 0)]
+
+
+@pytest.mark.parametrize("name", ["rule_names"])
+def test_queries_with_rules_hold_a_piece(spark, monkeypatch, name):
+    with monkeypatch.context() as m:
+        most, rows = most_held(udf_of(m, lambda: QUERIES[name](spark, "/root/testdata/sf0.001")), TEXTS)
+    assert rows == len(TEXTS) and most < TEXTS.nbytes
