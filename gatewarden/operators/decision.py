@@ -269,12 +269,11 @@ def scan_secrets(df: DataFrame, text: str = "text", policy: Policy | None = None
 def scan_rules(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """df with policy_findings: what the policy's rules find in whole texts of any length; a null text has none."""
 
-    @F.pandas_udf(RULE)
-    def run(s: pd.Series) -> pd.Series:
+    def make():
         engine = _engine(policy)
-        return s.map(lambda t: [] if t is None else engine.present(t, engine.findings(t)))
+        return lambda t: [] if t is None else engine.present(t, engine.findings(t))
 
-    return df.withColumn("policy_findings", run(F.col(text)))
+    return df.withColumn("policy_findings", row_udf(RULE, make).asNondeterministic()(F.col(text)))
 
 
 def violation_labels() -> Column:
