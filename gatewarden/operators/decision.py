@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -79,15 +78,7 @@ def _message_analysis(text: Column, messages: Column, policy: Policy) -> Column:
 
 def provider_analysis(text: Column, context: Column, provider: Callable) -> Column:
     """What provider(text, context) says of each row: its flags, score and reason, or its error in 201 characters at most."""
-
-    @F.pandas_udf(LLM)
-    def run(s: pd.Series, ctx: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for t, x in zip(s, ctx.to_dict("records")):
-            rows.append({} if t is None else call_provider(provider, t, x))
-        return pd.DataFrame(rows, columns=[*FLAGS, "risk_score", "reason", "error"]).astype(object)
-
-    return run(text, context)
+    return row_udf(LLM, lambda: lambda t, x: {} if t is None else call_provider(provider, t, x))(text, context)
 
 
 def call_provider(provider: Callable, text: str, context: dict) -> dict:

@@ -110,3 +110,12 @@ def test_queries_with_rules_hold_a_piece(spark, monkeypatch, name):
     with monkeypatch.context() as m:
         most, rows = most_held(udf_of(m, lambda: QUERIES[name](spark, "/root/testdata/sf0.001")), TEXTS)
     assert rows == len(TEXTS) and most < TEXTS.nbytes
+
+
+def test_providers_hold_a_piece(spark, monkeypatch):
+    context = pa.array([{"pii_detected": False, "injection_attempt": False, "secret_leaked": True, "policy_violated": True, "policy_rules": ["late"]}] * len(TEXTS))
+    with monkeypatch.context() as m:
+        most, rows = most_held(udf_of(m, lambda: QUERIES["llm_merge"](spark, "/root/testdata/sf0.001")), TEXTS, context)
+    assert rows == len(TEXTS) and most < TEXTS.nbytes
+    said = d.check(spark.createDataFrame([("late, late",), ("x" * 10_001,)], "text string"), policy=Policy(rules=({"name": "late", "terms": ["late"]},)), provider=lambda t, x: {"reason": f"{x['policy_violated']} {list(x['policy_rules'])}"})
+    assert {r.text[0]: r.llm_analysis and r.llm_analysis.reason for r in said.collect()} == {"l": "True ['late', 'late']", "x": None}
