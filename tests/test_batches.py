@@ -105,7 +105,7 @@ def test_decisions_hold_a_piece(spark, monkeypatch):
     assert [(r.secret_leaked, r.allowed, len(r.checks[1].patterns)) for r in got] == [(True, True, 0), (False, True, 0), (False, False, 0)]
 
 
-@pytest.mark.parametrize("name", ["rule_names", "rule_scan"])
+@pytest.mark.parametrize("name", ["rule_names", "rule_scan", "policy_findings"])
 def test_queries_with_rules_hold_a_piece(spark, monkeypatch, name):
     with monkeypatch.context() as m:
         most, rows = most_held(udf_of(m, lambda: QUERIES[name](spark, "/root/testdata/sf0.001")), TEXTS)
